@@ -150,9 +150,9 @@ class Settings:
 
 
 def deep_merge(base: Any, override: Any) -> Any:
-    """Override values under keys of `base`; lists are replaced whole, other keys of `override` are dropped."""
+    """Override values, null too, under keys of `base`; lists are replaced whole, other keys of `override` are dropped."""
     if not isinstance(base, dict):
-        return base if override is None else override
+        return override
     if not isinstance(override, dict):
         return base
     return {k: deep_merge(v, override[k]) if k in override else v for k, v in base.items()}
