@@ -22,7 +22,9 @@ from quillstream.llm.kernels import texts_of
 from quillstream.llm.shared import project, retain, stage_table, text_tag
 
 DELETED = b" \t\n\x0b\x0c\r"
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
+#: Larger inputs have larger buckets, so that the directory has about twice so many entries at most.
+MOST_BUCKETS = 50_000
 #: Texts that a task remembers having sent, in bytes; it sends a text again when they are forgotten.
 SENT_BYTES = 48 << 20
 
@@ -86,11 +88,12 @@ def build_directory(keyed: DataFrame, capacity: int = BUCKET_BYTES, bits: int =
 
     `keyed` has a row (key, n_bytes) for each distinct text. Loads are counted by
     Spark for `bits` more bits of the overfull buckets alone; the driver sees sums
-    for key prefixes, whose number is the input's bytes over the capacity at most,
-    times 2^bits for those buckets that are still overfull.
+    for key prefixes: 2^bits for each bucket that is still overfull, of which there
+    are MOST_BUCKETS at most.
     """
     directory, level = Directory(), 0
-    directory.buckets[0, 0] = keyed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    total = keyed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    directory.buckets[0, 0], capacity = total, max(capacity, total // MOST_BUCKETS)
     while level < deepest:
         full = [b for b, load in directory.buckets.items() if load > capacity and b[1] == level]
         if not full:
@@ -172,7 +175,7 @@ def build_index(docs: DataFrame, capacity: int = BUCKET_BYTES) -> tuple[DataFram
         rows.where("carries")
         .select("key", "sha", "body")
         .mapInArrow(route, "bucket int, key bigint, sha binary, body binary")
-        .repartition(max(parts, min(len(bounds), 100_000)), "bucket")
+        .repartition(max(parts, len(bounds)), "bucket")
         .sortWithinPartitions("bucket", "key")
         .mapInArrow(own_bucket, "bucket int, key bigint, slot int, sha binary")
     )
