@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.kernels import WORD, buffer_of, hash_spans, slices, spans
-from quillstream.llm.shared import project
+from quillstream.llm.shared import project, stage_table
 
 BITS = 20
 PREFIXES = (4, 5, 6)
-#: Labelled documents that are read for training, at most, of each label.
-SAMPLE = 3000
+#: Labelled documents that are read for training, at most, of each label; those with more distinct terms
+#: than MOST_TERMS are scored like any other, but not learned from, so that the sample's size is bounded.
+SAMPLE, MOST_TERMS = 3000, 16_384
 #: Terms that are kept: those whose presence tells most about the label.
 TERMS, LEAST_DOCS, LEAST_GAIN = 4096, 4, 12.0
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 30, 64, 0.1, 1e-4
@@ -154,11 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
             for start, part in slices(batch.column("text")):
                 flat, at = terms(part)
                 sets = [np.unique(flat[a:b]).astype(np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, n) for c in ("doc_id", "label")] + [pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "label", "terms"])
+                short = pa.array([len(s) <= MOST_TERMS for s in sets])
+                columns = [batch.column(c).slice(start, len(part)) for c in ("doc_id", "label")]
+                body = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, body], ["doc_id", "label", "terms"]).filter(short)
 
-    rows = texts.mapInArrow(run, "doc_id bigint, label int, terms binary").toLocalIterator(prefetchPartitions=True)
-    seen = sorted((r["doc_id"], r["label"], bytes(r["terms"])) for r in rows)
+    rows = stage_table(texts.mapInArrow(run, "doc_id bigint, label int, terms binary"), "toxicity-sample")
+    seen = sorted((r["doc_id"], r["label"], bytes(r["terms"])) for r in rows.collect())
     return fit([np.frombuffer(t, np.int32) for _, _, t in seen], np.array([x for _, x, _ in seen]))
 
 
