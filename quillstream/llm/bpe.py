@@ -23,11 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import slices
+from quillstream.llm.kernels import slices, tidy
 from quillstream.llm.shared import project
 
 #: Words that a task remembers; longer words are encoded each time.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 48
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 48
+#: Bytes of text whose new words are encoded together.
+SLICE = 4 << 20
 
 #: Letters and numbers that came after version 16 of Unicode, which the tokenizer files' patterns mean.
 LATER = (
@@ -37,6 +39,12 @@ LATER = (
     "1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e "
     "2cea2-2cead 323b0-33479 3d000-3fc3f"
 )
+#: Capitals of versions 16 and 17 of Unicode and how far their small letters lie from them.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+SMALL = {c: c + step for first, last, step in LATER_CAPITALS for c in range(first, last + 1)}
 
 
 def later_class() -> str:
@@ -66,6 +74,7 @@ class WordBpe:
         self.word = regex.compile(split)
         # a sign of a later version is neither letter nor number here, so it is one of the other signs
         later = later_class()
+        self.capital = regex.compile(f"[{''.join(map(chr, SMALL))}]")
         self.rare = regex.compile(split.replace("[\\p{L}]", f"[\\p{{L}}--[{later}]]").replace("[\\p{N}]", f"[\\p{{N}}--[{later}]]").replace("[^\\s\\p{L}\\p{N}]", f"(?:[^\\s\\p{{L}}\\p{{N}}]|[{later}])"), regex.V1)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.longest = max(map(len, self.vocab))
@@ -182,7 +191,7 @@ class WordBpe:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.rare.findall(text)
+            return self.rare.findall(text.translate(SMALL) if self.capital.search(text) else text)
         return self.word.findall(text)
 
     def parts(self, text: str) -> list[list[str] | int]:
@@ -247,7 +256,7 @@ def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(spec.value)
         for batch in batches:
-            for at, part in slices(batch.column("text")):
+            for at, part in slices(batch.column("text"), SLICE):
                 count, ids_sha, text_sha = [], [], []
                 for ids in coder.encode_batch(part.to_pylist()):
                     count.append(len(ids))
@@ -259,7 +268,7 @@ def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 )
 
     rows = project(docs, doc_id="bigint", text="string")
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -270,11 +279,11 @@ def encode_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(spec.value)
         for batch in batches:
-            for at, part in slices(batch.column("text")):
+            for at, part in slices(batch.column("text"), SLICE):
                 ids = pa.array([np.frombuffer(i, np.uint32).astype(np.int32) if i else [] for i in coder.encode_batch(part.to_pylist())], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), ids], ["doc_id", "ids"])
 
-    return project(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return project(docs, doc_id="bigint", text="string").mapInArrow(tidy(run), "doc_id bigint, ids array<int>")
 
 
 def decode_ids(rows: DataFrame, vocabulary: str) -> DataFrame:
@@ -288,4 +297,4 @@ def decode_ids(rows: DataFrame, vocabulary: str) -> DataFrame:
             texts = pa.array([coder.decode(i or []) for i in batch.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
 
-    return rows.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return rows.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(tidy(run), "doc_id bigint, text string")

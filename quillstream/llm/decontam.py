@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import WORD, buffer_of, hash_spans, mix, slices, spans, windows
+from quillstream.llm.kernels import WORD, buffer_of, hash_spans, mix, slices, spans, tidy, windows
 from quillstream.llm.shared import project, retain, stage_table, text_tag
 
 SIZE = 8
@@ -154,7 +154,7 @@ def window_rows(table: DataFrame, key: str, sizes: tuple[int, ...], bloom=None,
 
     rows = project(table, **{key: "bigint", "text": "string"})
     rows = rows.select(F.col(key).alias("key"), "text").withColumn("tag", text_tag("text"))
-    return rows.mapInArrow(run, "key bigint, tag bigint, size int, hash bigint, pos bigint, values array<bigint>, total bigint")
+    return rows.mapInArrow(tidy(run), "key bigint, tag bigint, size int, hash bigint, pos bigint, values array<bigint>, total bigint")
 
 
 def make_bloom(item_windows: DataFrame, bits: int) -> np.ndarray:
@@ -170,7 +170,7 @@ def make_bloom(item_windows: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(bits // 8, np.uint8)
     # a few parts, however many tasks the benchmark is read by
-    for row in item_windows.select("hash").distinct().coalesce(2).mapInArrow(run, "part binary").toLocalIterator():
+    for row in item_windows.select("hash").distinct().coalesce(2).mapInArrow(tidy(run), "part binary").toLocalIterator():
         out |= np.frombuffer(row[0], np.uint8)
     return out
 

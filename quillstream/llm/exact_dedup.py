@@ -13,12 +13,13 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import texts_of
+from quillstream.llm.kernels import slices, tidy
 from quillstream.llm.shared import project, retain, stage_table, text_tag
 
 DELETED = b" \t\n\x0b\x0c\r"
@@ -39,28 +40,29 @@ def fingerprint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sent: set[bytes] = set()
     size = 0
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        points = pc.utf8_length(texts).cast(pa.int64())
-        sha, key, n_bytes, body = [], [], [], []
-        for raw in texts.cast(pa.large_binary()).to_pylist():
-            norm = normalise(raw)
-            digest = hashlib.sha256(norm).digest()
-            sha.append(digest)
-            key.append(int.from_bytes(digest[:8], "big", signed=True))
-            n_bytes.append(len(norm))
-            if digest in sent:
-                body.append(None)
-                continue
-            body.append(norm)
-            sent.add(digest)
-            size += len(norm)
-            if size > SENT_BYTES:
-                sent.clear()
-                size = 0
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tag"), points, pa.array(n_bytes, pa.int64()), pa.array(key, pa.int64()), pa.array(sha, pa.binary()), pa.array([b is not None for b in body]), pa.array(body, pa.binary())],
-            ["doc_id", "tag", "points", "n_bytes", "key", "sha", "carries", "body"],
-        )
+        for at, texts in slices(batch.column("text"), 4 << 20):
+            points = pc.utf8_length(texts).cast(pa.int64())
+            sha, key, n_bytes, body = [], [], [], []
+            for raw in texts.cast(pa.large_binary()).to_pylist():
+                norm = normalise(raw)
+                digest = hashlib.sha256(norm).digest()
+                sha.append(digest)
+                key.append(int.from_bytes(digest[:8], "big", signed=True))
+                n_bytes.append(len(norm))
+                if digest in sent:
+                    body.append(None)
+                    continue
+                body.append(norm)
+                sent.add(digest)
+                size += len(norm)
+                if size > SENT_BYTES:
+                    sent.clear()
+                    size = 0
+            ids, tags = (batch.column(c).slice(at, len(texts)) for c in ("doc_id", "tag"))
+            yield pa.RecordBatch.from_arrays(
+                [ids, tags, points, pa.array(n_bytes, pa.int64()), pa.array(key, pa.int64()), pa.array(sha, pa.binary()), pa.array([b is not None for b in body]), pa.array(body, pa.binary())],
+                ["doc_id", "tag", "points", "n_bytes", "key", "sha", "carries", "body"],
+            )
 
 
 class Directory:
@@ -152,7 +154,7 @@ def build_index(docs: DataFrame, capacity: int = BUCKET_BYTES) -> tuple[DataFram
     """
     plain = project(docs, doc_id="bigint", text="string").withColumn("tag", text_tag("text"))
     rows = plain.mapInArrow(
-        fingerprint,
+        tidy(fingerprint),
         "doc_id bigint, tag bigint, points bigint, n_bytes bigint, key bigint, sha binary, carries boolean, body binary",
     ).withColumn("rid", F.monotonically_increasing_id())
     rows = stage_table(rows, "exact-rows")
@@ -164,20 +166,17 @@ def build_index(docs: DataFrame, capacity: int = BUCKET_BYTES) -> tuple[DataFram
     )
     bounds = build_directory(rows.where("carries").groupBy("key").agg(F.max("n_bytes").alias("n_bytes")), capacity).bounds()
 
-    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            bucket = np.searchsorted(bounds, key, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *batch.columns], ["bucket", *batch.schema.names])
+    @F.pandas_udf("int")  # the key alone goes to Python
+    def bucket_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64).view(np.uint64), "right") - 1, dtype="int32")
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owned = (
         rows.where("carries")
-        .select("key", "sha", "body")
-        .mapInArrow(route, "bucket int, key bigint, sha binary, body binary")
+        .select(bucket_of("key").alias("bucket"), "key", "sha", "body")
         .repartition(max(parts, len(bounds)), "bucket")
         .sortWithinPartitions("bucket", "key")
-        .mapInArrow(own_bucket, "bucket int, key bigint, slot int, sha binary")
+        .mapInArrow(tidy(own_bucket), "bucket int, key bigint, slot int, sha binary")
     )
     index = stage_table(owned.join(groups, "sha"), "exact-index")
     return rows.select("rid", "doc_id", "tag", "sha"), index

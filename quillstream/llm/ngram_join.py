@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import shingle_sets, slices
+from quillstream.llm.kernels import shingle_sets, slices, tidy
 from quillstream.llm.shared import components, project, retain, same, stage_table, text_tag
 
 SIZE = 5
@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame, size: int, banding: Banding) -> DataFrame:
                 )
 
     rows = project(docs, doc_id="bigint", text="string").withColumn("tag", text_tag("text"))
-    return rows.mapInArrow(run, "doc_id bigint, tag bigint, digest binary, grams bigint, bands array<bigint>")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, tag bigint, digest binary, grams bigint, bands array<bigint>")
 
 
 def families(sets: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def verify(members: DataFrame, docs: DataFrame, size: int, threshold: Fraction)
                 rest = [batch.column(c).slice(at, len(part)) for c in ("digest", "family", "copies", "blocks")]
                 yield pa.RecordBatch.from_arrays([*rest, body], ["digest", "family", "copies", "blocks", "body"])
 
-    rows = chosen.select("digest", "family", "copies", "blocks", "text").mapInArrow(grams, "digest binary, family bigint, copies bigint, blocks int, body binary")
+    rows = chosen.select("digest", "family", "copies", "blocks", "text").mapInArrow(tidy(grams), "digest binary, family bigint, copies bigint, blocks int, body binary")
     block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("digest"), F.col("blocks").cast("bigint")).cast("int"))
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "copies", "body")

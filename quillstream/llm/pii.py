@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstream.llm.kernels import buffer_of, slices
+from quillstream.llm.kernels import buffer_of, slices, tidy
 from quillstream.llm.shared import project
 
 KINDS = ("email", "ip", "card", "phone")
@@ -475,4 +475,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 )
 
     rows = project(docs, doc_id="bigint", text="string")
-    return rows.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")

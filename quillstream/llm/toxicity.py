@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import WORD, buffer_of, hash_spans, slices, spans
+from quillstream.llm.kernels import WORD, buffer_of, hash_spans, slices, spans, tidy
 from quillstream.llm.shared import project, stage_table
 
 BITS = 20
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
                 body = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, body], ["doc_id", "label", "terms"]).filter(short)
 
-    rows = stage_table(texts.mapInArrow(run, "doc_id bigint, label int, terms binary"), "toxicity-sample")
+    rows = stage_table(texts.mapInArrow(tidy(run), "doc_id bigint, label int, terms binary"), "toxicity-sample")
     seen = sorted((r["doc_id"], r["label"], bytes(r["terms"])) for r in rows.collect())
     return fit([np.frombuffer(t, np.int32) for _, _, t in seen], np.array([x for _, x, _ in seen]))
 
@@ -187,7 +187,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                 )
 
     rows = project(docs, doc_id="bigint", text="string")
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -199,8 +199,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [model.value.score(part) < 0.5 for _, part in slices(batch.column(at).cast(pa.large_string()))]
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+            for start, part in slices(batch.column(at)):
+                yield batch.slice(start, len(part)).filter(pa.array(model.value.score(part) < 0.5))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*names)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import slices, texts_of
+from quillstream.llm.kernels import slices, texts_of, tidy
 from quillstream.llm.shared import project, same, stage_table, text_tag
 
 #: Shorter lines stay, however often they occur: headings, signatures and licence notes are no passages.
@@ -68,7 +68,7 @@ def unit_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     )
 
     rows = project(docs, doc_id="bigint", text="string").withColumn("tag", text_tag("text"))
-    return rows.mapInArrow(run, "doc_id bigint, tag bigint, unit_start bigint, unit_end bigint, n_words bigint, digest binary")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, tag bigint, unit_start bigint, unit_end bigint, n_words bigint, digest binary")
 
 
 def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -126,7 +126,7 @@ def remove_repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> Da
                 ["doc_id", "text", "removed_spans"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, text string, removed_spans string")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, text string, removed_spans string")
 
 
 def oracle_sql(least_words: int = LEAST_WORDS) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import buffer_of, slices
+from quillstream.llm.kernels import buffer_of, slices, tidy
 from quillstream.llm.shared import project
 
 #: Rules of the query: verdict, host, path.
@@ -155,7 +155,7 @@ def judge_urls(
     host, path = split_url(F.col(url))
     rows = rows.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("canonical", F.concat("host", "path"))
-    return rows.mapInArrow(judge, "page_id bigint, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(tidy(judge), "page_id bigint, host string, path string, rule string, verdict string")
 
 
 def oracle_sql() -> str:

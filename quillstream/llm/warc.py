@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import texts_of
+from quillstream.llm.kernels import texts_of, tidy
 from quillstream.llm.shared import fresh_path, project, stage_table
 
 #: Magic number of the skippable frame that holds a dictionary, as the format for Zstandard WARC files has it.
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             yield flush()
 
     columns = ("page_id", "url", "html", "sha1", "n_bytes", "record_type", "refers_to")
-    return stage_table(pages.select(*columns).mapInArrow(write, "path string, records bigint"), "warc-manifest")
+    return stage_table(pages.select(*columns).mapInArrow(tidy(write), "path string, records bigint"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.repartition(parts, "path").mapInArrow(
-        read,
+        tidy(read),
         "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary",
     )
 
