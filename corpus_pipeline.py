@@ -1,4 +1,7 @@
-"""A corpus pipeline in stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline in stages, each written as Parquet and read again as the next one's documents.
+
+A stage's own tables in the shared folder go when the next stage begins, as its result is stored by then.
+"""
 
 from __future__ import annotations
 
@@ -8,37 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm import bpe, decontam, exact_dedup, ngram_join, toxicity
 from quillstream.llm.queries import table, vocabulary
-from quillstream.llm.shared import cleanup, shared_dir
+from quillstream.llm.shared import shared_dir, successive
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go."""
-    cleanup(spark)  # what the stages before left in the shared folder is stored by now
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+    with successive(spark, "pipeline"):
+        return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of equal texts stays."""
-    cleanup(spark)
-    return exact_dedup.drop_exact_copies(docs)
+    with successive(spark, "pipeline"):
+        return exact_dedup.drop_exact_copies(docs)
 
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of near copies stays."""
-    cleanup(spark)
-    return ngram_join.drop_similar(docs)
+    with successive(spark, "pipeline"):
+        return ngram_join.drop_similar(docs)
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    cleanup(spark)
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    with successive(spark, "pipeline"):
+        return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is kept, as digests of its tokens and of the decoded text."""
-    cleanup(spark)
-    return bpe.token_digests(docs, vocabulary())
+    with successive(spark, "pipeline"):
+        return bpe.token_digests(docs, vocabulary())
 
 
 STAGES = [

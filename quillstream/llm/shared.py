@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
+_STEPS: dict[str, list[str]] = {}
 
 
 def project(df: DataFrame, **types: str) -> DataFrame:
@@ -62,14 +65,30 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Remove the tables that stage_table wrote; call it when results are stored."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Remove the tables that stage_table wrote in this process; call it when results are stored."""
+    _delete(spark, _WRITTEN)
+    _WRITTEN.clear()
+
+
+@contextmanager
+def successive(spark: SparkSession, name: str) -> Iterator[None]:
+    """For steps of which each one's result is stored before the next begins: remove the
+    tables that the step of that name before has left, and no others."""
+    _delete(spark, _STEPS.pop(name, []))
+    at = len(_WRITTEN)
+    yield
+    _STEPS[name] = _WRITTEN[at:]
+    del _WRITTEN[at:]
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
