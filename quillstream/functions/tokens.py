@@ -12,6 +12,11 @@ TOKENS = f"array<{TOKEN}>"
 PDF_REF = "struct<begin_index:int,begin_offset:int,end_index:int,end_offset:int>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it; lambdas share nothing otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _token(kind: str, value: Column, ms: Column, tag: Column, reason: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("kind"), value.cast("string").alias("value"), ms.cast("int").alias("ms"),

@@ -170,9 +170,10 @@ def assemble(lines: DataFrame) -> DataFrame:
     )
     hyphen = lambda t: rx.trim(t).rlike(HYPHEN_END)
     joined = F.array_join(F.transform("_p", lambda p, i: F.when(i == F.size("_p") - 1, p["text"]).when(hyphen(p["text"]), F.regexp_replace(p["text"], r"-\z", "")).otherwise(F.concat(p["text"], F.lit(" ")))), "")
-    item = F.regexp_replace(F.regexp_replace(joined, BULLET, ""), NUMBERED_ITEM, "")
-    kind = F.col("kind")
-    text = F.when(kind == "list-item", item).when(kind == "paragraph-line", rx.trim(joined)).otherwise(joined)
+    grouped = grouped.withColumn("_j", joined)
+    whole, kind = F.col("_j"), F.col("kind")
+    item = F.regexp_replace(F.regexp_replace(whole, BULLET, ""), NUMBERED_ITEM, "")
+    text = F.when(kind == "list-item", item).when(kind == "paragraph-line", rx.trim(whole)).otherwise(whole)
     type_ = F.when(kind.isin("heading", "list-item", "table-row"), kind).otherwise("paragraph")
     ref = line_ref(F.col("_b"), F.col("_e"), F.col("_l"))
     return grouped.select(

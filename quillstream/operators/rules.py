@@ -70,11 +70,9 @@ def filter_boilerplate(segments: DataFrame, config: Boilerplate) -> DataFrame:
     patterns = [p for p in (rx.ignoring_case(rx.to_java(p)) for p in config.patterns or BOILERPLATE) if rx.is_valid(spark, p)]
     if not patterns:
         return segments
-    text = rx.trim(plain())
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | F.col("_t").rlike(p)
-    return segments.withColumn("_t", text).where((F.col("_t") == "") | ~hit).drop("_t")
+    # one pattern for all, as every mention of the text in a filter computes it again
+    text, any_of = rx.trim(plain()), "|".join(f"(?:{p})" for p in patterns)
+    return segments.where((text == "") | ~text.rlike(any_of))
 
 
 def caption_patterns(keywords: tuple[str, ...]) -> tuple[str, str]:
@@ -197,38 +195,38 @@ def substitution_pattern(entry: Substitution) -> str:
     return java if entry.caseSensitive else rx.ignoring_case(java)
 
 
-def substitute(text: Column, entries: tuple[Substitution, ...]) -> tuple[Column, Column]:
-    """(text, tag): entries applied in order, each on what the one before has left; the tag lists those that fired."""
-    fired, used = [], [e for e in entries if e.match.strip()]
-    for e in used:
-        pattern = substitution_pattern(e)
-        fired.append(F.when(text.rlike(pattern), F.lit(f"{e.match}→{e.replace}")))
-        text = F.regexp_replace(text, pattern, rx.java_replacement(e.replace))
-    if not used:
-        return text, F.lit(None).cast("string")
-    names = F.array_join(F.array(*fired), ", ")
-    return text, F.when(names != "", F.concat(F.lit("substituted: "), names))
+def substitute(text: Column, entries: tuple[Substitution, ...]) -> Column:
+    """A struct (text, fired): entries applied in order, each on what the one before has left; fired lists those that matched.
 
+    One fold over the entries as a constant array, so that no step is computed twice.
+    """
+    rows = [F.struct(F.lit(substitution_pattern(e)).alias("p"), F.lit(rx.java_replacement(e.replace)).alias("r"), F.lit(f"{e.match}→{e.replace}").alias("t")) for e in entries]
+    start = F.struct(text.alias("text"), F.expr("cast(array() as array<string>)").alias("fired"))
 
-def could_fire(text: Column, entries: tuple[Substitution, ...]) -> Column:
-    """One test that is true whenever an entry could fire on the text as it is.
+    def step(a: Column, e: Column) -> Column:
+        hit = F.regexp(a["text"], e["p"])
+        new = F.struct(F.regexp_replace(a["text"], e["p"], e["r"]).alias("text"), F.concat(a["fired"], F.array(e["t"])).alias("fired"))
+        return F.when(hit, new).otherwise(a)
 
-    Later entries could match what earlier ones have written, so the test holds also where a
-    written text has signs of a later match; it is a necessary condition, never a decision.
-    """
-    used = [e for e in entries if e.match.strip()]
-    return text.rlike("(?iu)" + "|".join(rx.to_java(rx.escape(e.match)) for e in used)) if used else F.lit(False)
+    return F.aggregate(F.array(*rows), start, step)
 
 
 def apply_substitutions(segments: DataFrame, entries: tuple[Substitution, ...]) -> DataFrame:
-    """Nothing changes in a text that no entry matches, so the chain runs only where one does."""
+    """Rewrite text tokens and tag those in which something was replaced.
+
+    A text that no entry matches as it stands is not changed by any, as entries write
+    only where they match; one pattern for all of them tells, and the fold runs on the rest.
+    """
+    used = tuple(e for e in entries if e.match.strip())
+    if not used:
+        return segments
+    first = "(?iu)" + "|".join(rx.to_java(rx.escape(e.match)) for e in used)
 
-    def change(value: Column) -> tuple[Column, Column]:
-        text, tag = substitute(value, entries)
-        fires = could_fire(value, entries)
-        return F.when(fires, text).otherwise(value), F.when(fires, tag)
+    def change(t: Column) -> Column:
+        made = T.let(substitute(t["value"], used), lambda r: T.text(r["text"], F.when(F.size(r["fired"]) > 0, F.concat(F.lit("substituted: "), F.array_join(r["fired"], ", "))).otherwise(t["debug_tag"])))
+        return F.when((t["kind"] == "text") & t["value"].rlike(first), made).otherwise(t)
 
-    return segments.withColumn("tokens", T.map_text(F.col("tokens"), change))
+    return segments.withColumn("tokens", F.transform("tokens", change))
 
 
 def structural_pauses(segments: DataFrame, config: StructuralPauses) -> DataFrame:

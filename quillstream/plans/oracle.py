@@ -276,9 +276,9 @@ select n.doc_id, n.text, n.hint_page, coalesce(found, -1) as cue_index from n le
 select doc_id, cue_index, min(case when type = 'heading' and seg_start then cue_index end) over (partition by doc_id order by cue_index rows between 1 following and unbounded following) as next_heading,
   max(case when type = 'heading' and seg_start then cue_index end) over (partition by doc_id order by cue_index rows between unbounded preceding and 1 preceding) as previous_heading from cue""",
     "seek_skip": f"""{CUE}, t as (select *, count(*) over (partition by doc_id) as total from cue)
-select doc_id, cue_index, least(total - 1, cue_index + 1) as forth, greatest(0, cue_index - 1) as back, floor(cue_index * 100.0 / total + 0.5)::int as percent from t""",
+select doc_id, cue_index, least(total - 1, cue_index + 1) as forth, greatest(0, cue_index - 1) as back, floor(cue_index / total * 100 + 0.5)::int as percent from t""",
     "seek_status": f"""{CUE}, t as (select doc_id, count(*) as total from cue group by doc_id), d as (select doc_id, 3::bigint as position from documents)
-select d.doc_id, position, page, type, kind, text, coalesce(total, 0) as total, case when total > 0 then floor(3 * 100.0 / total + 0.5)::int else 0 end as percent
+select d.doc_id, position, page, type, kind, text, coalesce(total, 0) as total, case when total > 0 then floor(3 / total * 100 + 0.5)::int else 0 end as percent
 from d left join t using (doc_id) left join cue c on c.doc_id = d.doc_id and cue_index = position""",
     "seek_page_count": f"""{CUE}
 select doc_id, case when doc_id % 4 = 0 then 77 else max_by(page, cue_index) end as page_count from cue group by doc_id""",
