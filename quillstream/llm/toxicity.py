@@ -93,20 +93,21 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Factorizat
     if not n or y.min() == y.max():
         rate = (y.sum() + 0.5) / (n + 1)
         return FactorizationMachine(place, float(np.log(rate / (1 - rate))) if n else -5.0, np.zeros(1), np.zeros((1, FACTORS)))
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    has = np.bincount(flat, minlength=1 << BITS)
-    pos = np.bincount(flat, y[owner], minlength=1 << BITS)
+    has, pos = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for s, label in zip(sets, y > 0, strict=True):
+        has[s] += 1
+        pos[s] += label
+    often = np.flatnonzero(has >= LEAST_DOCS)
+    here, hit = has[often].astype(float), pos[often].astype(float)
     p, q = y.sum(), n - y.sum()
 
     def entropy(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         t = np.maximum(a + b, 1e-9)
         return -sum(np.where(x > 0, x / t * np.log(np.maximum(x, 1e-9) / t), 0) for x in (a, b)) * t
 
-    gain = entropy(np.array([p]), np.array([q]))[0] - entropy(pos, has - pos) - entropy(p - pos, q - (has - pos))
-    gain[has < LEAST_DOCS] = 0
+    gain = entropy(np.array([p]), np.array([q]))[0] - entropy(hit, here - hit) - entropy(p - hit, q - (here - hit))
     best = np.argsort(-gain, kind="stable")[:TERMS]
-    best = best[gain[best] > LEAST_GAIN]  # what chance alone gives is no reason to keep a term
+    best = often[best[gain[best] > LEAST_GAIN]]  # what chance alone gives is no reason to keep a term
     place[best] = np.arange(1, len(best) + 1)
     size = len(best) + 1
     rows = [np.unique(place[s][place[s] > 0]) for s in sets]
@@ -161,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
                 yield pa.RecordBatch.from_arrays([*columns, body], ["doc_id", "label", "terms"]).filter(short)
 
     rows = stage_table(texts.mapInArrow(tidy(run), "doc_id bigint, label int, terms binary"), "toxicity-sample")
-    seen = sorted((r["doc_id"], r["label"], bytes(r["terms"])) for r in rows.collect())
-    return fit([np.frombuffer(t, np.int32) for _, _, t in seen], np.array([x for _, x, _ in seen]))
+    seen = [(r["doc_id"], r["label"], np.frombuffer(bytes(r["terms"]), np.int32)) for r in rows.toLocalIterator()]
+    seen.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    return fit([t for _, _, t in seen], np.array([x for _, x, _ in seen]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
