@@ -1,6 +1,11 @@
 """A corpus pipeline in stages, each written as Parquet and read again as the next one's documents.
 
 A stage's own tables in the shared folder go when the next stage begins, as its result is stored by then.
+
+Rows with a null doc_id, null or empty texts, or of any length pass through all stages like any others:
+a null text counts as an empty one, is never toxic or leaked, and is an exact copy of other empty texts.
+Of rows that repeat each other one stays. All but the last stage return every column that they were given,
+whatever its name; an empty table stays empty. The operators' docstrings have the details.
 """
 
 from __future__ import annotations
