@@ -136,16 +136,16 @@ def fingerprints(docs: DataFrame, size: int, banding: Banding) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id bigint, tag bigint, digest binary, grams bigint, bands array<bigint>")
 
 
-def families(sets: DataFrame) -> DataFrame:
-    """(node, family) of the sets that share a band bucket with another, over sets(node, bands)."""
+def families(sets: DataFrame, stars: int) -> DataFrame:
+    """(node, family) of the sets that share a band bucket with another, over sets(node, bands); `stars` bounds the bands of all sets."""
     bands = sets.select("node", F.posexplode("bands").alias("band", "bucket"))
     least = bands.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b")).where("n > 1").select("band", "bucket", "b")
-    least = stage_table(least, "ngram-buckets")  # a table, so that the join can split a bucket that many share
+    least = stage_table(least, "ngram-buckets", stars)  # a table, so that the join can split a bucket that many share
     star = bands.join(least, ["band", "bucket"]).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    return components(star, "families").select("node", F.col("root").alias("family"))
+    return components(star, "families", stars).select("node", F.col("root").alias("family"))
 
 
-def verify(members: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+def verify(members: DataFrame, docs: DataFrame, size: int, threshold: Fraction, total: int) -> tuple[DataFrame, DataFrame]:
     """Exact links within families.
 
     members: (node, family, digest, grams, copies, doc_id, tag) with one row for each
@@ -154,7 +154,7 @@ def verify(members: DataFrame, docs: DataFrame, size: int, threshold: Fraction)
     """
     count = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
-    members = members.join(stage_table(count.select("family", blocks.alias("blocks")), "ngram-families"), "family")
+    members = members.join(stage_table(count.select("family", blocks.alias("blocks")), "ngram-families", total), "family")
     members = members.select("digest", "family", "copies", "blocks", F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
     texts = project(docs, doc_id="bigint", text="string").withColumn("tag", text_tag("text"))
     # one text for each set; several rows that repeat doc_id and text are told apart by nobody and fall together below
@@ -213,11 +213,12 @@ def linked_sets(docs: DataFrame, size: int, threshold: Fraction, recall: float)
         .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(lead.alias("lead"), "grams", "bands")).alias("r"))
         .select("digest", "copies", "r.lead.doc_id", "r.lead.tag", "r.grams", "r.bands", F.xxhash64("digest").alias("node"))
     )
+    total = rows.count()
     sets = stage_table(sets, "ngram-sets")
-    family = families(sets)
-    members = stage_table(sets.drop("bands").join(family, "node"), "ngram-members")
-    counts, edges = verify(members, docs, size, threshold)
-    root = components(edges, "classes").select(F.col("node").alias("digest"), "root")
+    family = families(sets, total * banding.bands)
+    members = stage_table(sets.drop("bands").join(family, "node"), "ngram-members", total)
+    counts, edges = verify(members, docs, size, threshold, total)
+    root = components(edges, "classes", total).select(F.col("node").alias("digest"), "root")
     linked = (
         sets.select("digest", "copies", "doc_id", "tag")
         .join(root, "digest", "left")
@@ -225,10 +226,10 @@ def linked_sets(docs: DataFrame, size: int, threshold: Fraction, recall: float)
         .where("copies > 1 or n is not null")
         .select("digest", "copies", "doc_id", "tag", F.coalesce("root", "digest").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     )
-    linked = stage_table(linked, "ngram-linked")
+    linked = stage_table(linked, "ngram-linked", total)
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag", "digest")).alias("f"))
     first = first.select("root", F.col("f.doc_id").alias("class_id"), F.col("f.tag").alias("keep_tag"), F.col("f.digest").alias("keep_digest"))
-    first = stage_table(first, "ngram-first")
+    first = stage_table(first, "ngram-first", total)
     classes = linked.join(first, "root").select(
         "digest", "class_id", "keep_tag", "keep_digest", (F.col("n") + F.col("copies") - 1).alias("n_links")
     )

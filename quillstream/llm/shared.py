@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_PER_FILE = 250_000
 _WRITTEN: list[str] = []
 _STEPS: dict[str, list[str]] = {}
 
@@ -56,10 +57,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here,
-    and a lost executor costs no more than the stage that it worked on."""
+    and a lost executor costs no more than the stage that it worked on.
+
+    `rows` bounds the number of rows of a narrow table; it then gets a file for each
+    ROWS_PER_FILE of them, four at least, instead of one for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // ROWS_PER_FILE)))
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -94,20 +101,22 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def components(edges: DataFrame, name: str = "links") -> DataFrame:
+def components(edges: DataFrame, name: str = "links", rows: int | None = None) -> DataFrame:
     """Connected components of edges(a, b): rows (node, root), root the smallest node.
 
     Each round hooks every node to the least label around it and then jumps to the
     label's own label, so that rounds grow with the logarithm of a path's length.
     Labels and edges stay in tables; the driver sees only the number of changes.
-    A node with many edges is met by partial aggregation and by joins that can be
+    `rows` bounds the number of edges. A node with many edges is met by partial aggregation and by joins that can be
     split, never by a group in one task.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage_table(both.where("a <> b").distinct(), f"{name}-edges")
+    both = stage_table(both.where("a <> b").distinct(), f"{name}-edges", rows and 2 * rows)
+    rows = rows and both.count()
     labels = stage_table(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")),
         f"{name}-labels",
+        rows,
     )
     while True:
         around = (
@@ -118,14 +127,14 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         hooked = labels.join(around.select(F.col("a").alias("node"), "m"), "node", "left").select(
             "node", "root", F.least("root", F.coalesce("m", "root")).alias("near")
         )
-        hooked = stage_table(hooked, f"{name}-hooked")
+        hooked = stage_table(hooked, f"{name}-hooked", rows)
         # a root that learned of a smaller label passes it to all that point to it
         better = hooked.groupBy("root").agg(F.min("near").alias("n"))
         jump = better.join(
             hooked.select(F.col("node").alias("n"), F.col("near").alias("far")), "n", "left"
         ).select("root", F.least("n", F.coalesce("far", "n")).alias("best"))
         after = hooked.join(jump, "root").select("node", F.least("near", "best").alias("root"), F.col("root").alias("was"))
-        after = stage_table(after, f"{name}-labels")
+        after = stage_table(after, f"{name}-labels", rows)
         changed = after.where("root <> was").limit(1).count()
         labels = after.select("node", "root")
         if not changed:
