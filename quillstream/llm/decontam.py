@@ -113,10 +113,9 @@ def bloom_rows(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def window_rows(table: DataFrame, key: str, sizes: tuple[int, ...], bloom=None, bits: int = 0) -> DataFrame:
-    """(key, tag, size, hash, pos, values, kinds, total) of the windows of each text, or of those a Bloom filter lets pass.
+    """(key, tag, size, hash, pos, values, total) of the windows of each text, or of those a Bloom filter lets pass.
 
-    values are the word hashes at the placeholders of a window and kinds their places
-    in it; total is the number of the text's windows of that size. A text of fewer than
+    values are the word hashes at the placeholders of a window, in order; total is the number of the text's windows of that size. A text of fewer than
     SIZE tokens has one window of its own length, three at least, where no filter is given.
     """
 
