@@ -28,8 +28,10 @@ from quillstream.llm.shared import project
 
 #: Words that a task remembers; longer words are encoded each time.
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 48
+#: Pairs whose compatibility a task remembers.
+REMEMBERED_PAIRS = 1_000_000
 #: Bytes of text whose new words are encoded together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 #: Letters and numbers that came after version 16 of Unicode, which the tokenizer files' patterns mean.
 LATER = (
@@ -214,6 +216,8 @@ class WordBpe:
                     seen.update(part)
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.good) + len(self.bad) > REMEMBERED_PAIRS:
+            self.good, self.bad = self.good[:0], self.bad[:0]
         known = self.known
         new = self.learn(w for w in seen if w not in known)
         known.update((w, t) for w, t in new.items() if len(w) <= REMEMBERED_LENGTH)

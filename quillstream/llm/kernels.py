@@ -21,7 +21,7 @@ BYTE_CODE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = True
