@@ -51,3 +51,22 @@ def test_documents_against_search_for_whole_items(spark, small):
     items, texts = b.collect(), d.collect()
     want = {(x.doc_id, i.item_id) for x in texts for i in items if i.text in x.text}
     assert want and want <= got and len(got - want) <= 2
+
+
+def test_words_inserted_or_left_out_and_names_of_other_length(spark):
+    rng = random.Random(23)
+    long = words(rng, 40)
+    middle, thirds, less = list(long), list(long), list(long)
+    middle.insert(20, "inserted")
+    thirds.insert(14, "inserted")
+    thirds.insert(28, "again")
+    del less[20]
+    short = words(rng, 20)
+    shifted = [*short[:10], "inserted", *short[10:]]
+    story = "Alice has {} in her bag and goes to the market by the river. Alice buys {} more for the feast. Then Alice gives some of it to her brother before the sun is down"
+    items = [(1, " ".join(long)), (2, story.format(12, 5)), (3, " ".join(short))]
+    other = story.format(7, 9).replace("Alice", "Mary Ann")
+    rows = [(10, " ".join(middle)), (11, " ".join(thirds)), (12, "Before it. " + other), (13, " ".join(less)), (14, other.replace("Alice", "Maria")), (15, " ".join(shifted))]
+    rows += [(16, " ".join(long[20:] + long[:20]))]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == {(10, 1), (11, 1), (12, 2), (13, 1), (14, 2), (15, 3)}
