@@ -6,7 +6,8 @@ read against, and what passes is hash-joined with the benchmark's windows. Windo
 of one item that lie on one diagonal or on neighbouring ones in a document form an alignment. It counts when
 it covers enough of the item and when its slots are consistent: one value of the
 item always stands for one value of the document, so re-parameterised questions are
-caught and chance meetings of placeholders are not.
+caught and chance meetings of placeholders are not. Windows of plain lower-cased words go the
+same way beside them, for copies of whole items.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.kernels import WORD, buffer_of, hash_spans, mix, powers, slices, spans, tidy, windows
+from quillstream.llm.kernels import WORD, buffer_of, hash_spans, mix, powers, slices, spans, tidy, windows, words
 from quillstream.llm.shared import project, retain, stage_table, text_tag
 
 SIZE = 8
@@ -55,6 +56,10 @@ _UNIT = np.sort(np.array([_single(u) for u in UNITS.split()], np.uint64))
 NUM, NAME, UNIT = (_single(w) for w in ("<number>", "<name>", "<unit>"))
 
 
+#: Kinds of windows.
+NARROW, WIDE, PLAIN = range(3)
+
+
 def lowered(buf: np.ndarray) -> np.ndarray:
     """Lower case of ASCII and Latin-1 letters, byte for byte."""
     out = buf.copy()
@@ -118,6 +123,12 @@ def templates(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, n
     return out
 
 
+def plain(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As template, of lower-cased words alone: nothing is a placeholder."""
+    h, at = words(col)
+    return h, h, np.zeros(len(h), bool), at
+
+
 def text_windows(t: np.ndarray, typed: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the windows inside texts that have enough literal tokens."""
     hashes = windows(t, size)
@@ -138,21 +149,21 @@ def bloom_rows(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 def window_rows(table: DataFrame, key: str, sizes: tuple[tuple[int, int], ...] = (), bloom=None, bits: int = 0) -> DataFrame:
     """(key, tag, kind, size, hash, pos, values, total, ahead) of the windows of each text, or of those a Bloom filter lets pass.
 
-    kind tells the narrow template from the wide one; `sizes` are the pairs of kind and size that a filter knows. values are the word hashes at the
+    kind tells narrow and wide templates and plain words apart; `sizes` are the pairs of kind and size that a filter knows. values are the word hashes at the
     placeholders of a window, in order; total is the number of the text's windows of that kind and size; bit i of ahead tells that there is a window i + 1
-    tokens on. A text of fewer than SIZE tokens has one window of its own length, three at least, where no filter is given.
+    tokens on. A text of fewer than SIZE tokens has one window of its own length, three at least but for plain words, where no filter is given.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, part in slices(batch.column("text")):
                 rows: list[list] = [[] for _ in range(8)]
-                for kind, (t, h, typed, at) in enumerate(templates(part)):
+                for kind, (t, h, typed, at) in enumerate([*templates(part), plain(part)]):
                     long = np.diff(at)
                     if bloom is not None:
                         own = [s for k, s in sizes if k == kind]
                     else:
-                        own = sorted({min(n, SIZE) for n in long.tolist() if n >= 3})
+                        own = sorted({min(n, SIZE) for n in long.tolist() if n >= (1 if kind == PLAIN else 3)})
                     for size in own:
                         place, hashes = text_windows(t, typed, at, size)
                         owner = np.searchsorted(at, place, "right") - 1
@@ -167,6 +178,11 @@ def window_rows(table: DataFrame, key: str, sizes: tuple[tuple[int, int], ...] =
                             for index in bloom_rows(hashes, bits):
                                 hit &= (bloom.value[(index >> np.uint64(3)).astype(np.int64)] >> (index & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                             place, hashes, owner = place[hit], hashes[hit], owner[hit]
+                        if bloom is not None and kind == PLAIN and size < SIZE and len(place):
+                            # a short item is one window: where it stands first is enough
+                            once = np.unique(np.stack([owner, hashes.view(np.int64)]), axis=1, return_index=True)[1]
+                            once.sort()
+                            place, hashes, owner = place[once], hashes[once], owner[once]
                         ahead = np.zeros(len(place), np.int64)
                         for i in range(SIZE - 1):
                             ahead |= (stands[place + i + 1] & (place + i + 1 < at[owner + 1])).astype(np.int64) << i
@@ -256,7 +272,7 @@ def chains(met: DataFrame) -> DataFrame:
     on = ("doc_id", "tag", "item_id", "item_tag", "kind", "place")
     drift = F.greatest(F.lit(DRIFT), F.floor(F.col("total") / 4))
     block = F.floor(F.col("diagonal") / drift)
-    dealt = met.where(F.col("size") == SIZE).withColumn("place", F.explode(F.array(block, block - 1)))
+    dealt = met.where((F.col("size") == SIZE) & (F.col("kind") != PLAIN)).withColumn("place", F.explode(F.array(block, block - 1)))
     many = dealt.groupBy(*on).agg(F.count_distinct("diagonal").alias("lines"), F.count_distinct("item_pos").alias("n"), F.max("total").alias("t"))
     many = many.where((F.col("lines") > 1) & (F.col("n") + (SIZE - 1) * (F.col("lines") - 1) >= F.lit(COVER) * F.col("t")))
     l, r = dealt.alias("l"), many.alias("r")
@@ -291,7 +307,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = met.select(*on, F.explode(F.array_distinct(F.arrays_zip(F.col("item_values").alias("a"), F.col("doc_values").alias("b")))).alias("z"))
     broken = slots.groupBy(*on, F.col("z.a").alias("a")).agg(F.min("z.b").alias("lo"), F.max("z.b").alias("hi")).where("lo <> hi").select(*on).distinct()
     whole = met.groupBy(*on).agg(F.count_distinct("item_pos").alias("matched"), F.max("total").alias("item_windows"))
-    whole = whole.where(F.col("matched") >= F.lit(COVER) * F.col("item_windows"))
+    # plain words are for copies of whole items
+    whole = whole.where(F.col("matched") >= F.when(F.col("kind") == PLAIN, 1.0).otherwise(COVER) * F.col("item_windows"))
     l, r = whole.alias("l"), broken.alias("r")
     clash = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
     good = l.join(r, clash, "left_anti").select("doc_id", "tag", "item_id", "matched", "item_windows").union(chains(met))
@@ -302,9 +319,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, matched, item_windows), one for each document and benchmark item that it holds.
 
     A document holds an item when windows of SIZE template tokens on one diagonal, or in order on
-    neighbouring ones, cover half of the item's windows at least and their slots are consistent. An item of three
-    to SIZE - 1 tokens is one window; one of fewer, a null or an empty item is never held,
-    nor is a window with fewer than LEAST_LITERALS tokens that are no placeholders. A null text
+    neighbouring ones, cover half of the item's windows at least and their slots are consistent; windows with fewer than
+    LEAST_LITERALS tokens that are no placeholders do not count, and an item of three to SIZE - 1 tokens is
+    one window. It holds an item, too, when all words of the item, at least one, stand in it in a row, whatever
+    their case and what lies between words. A null or an item without words is never held, and a null text
     holds nothing. Texts are read whole. Rows that repeat a doc_id and text are reported
     once. A null doc_id or item_id is reported as null. Empty tables give no rows.
     """

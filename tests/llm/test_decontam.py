@@ -70,3 +70,13 @@ def test_words_inserted_or_left_out_and_names_of_other_length(spark):
     rows += [(16, " ".join(long[20:] + long[:20]))]
     got = {(r.doc_id, r.item_id) for r in D.contaminated(docs(spark, rows), bench(spark, items)).collect()}
     assert got == {(10, 1), (11, 1), (12, 2), (13, 1), (14, 2), (15, 3)}
+
+
+def test_whole_copies_in_any_case(spark):
+    rng = random.Random(29)
+    text = " ".join(words(rng, 30)).capitalize() + "."
+    items = [(10, text), (11, "What is 12 times 30"), (12, "Frobnicate zygotes"), (13, "12 3 45 6 78 9 10 11 12 13 14 and 15"), (14, "quux"), (15, "Čtyři žlutí ŽÁCI šli domů přes řeku a les")]
+    rows = [(40, text.upper()), (41, "Q: what IS 12 times 30? Nobody knows"), (42, "they FROBNICATE\nzygotes, frobnicate zygotes"), (43, "x " + items[3][1] + " y"), (44, "a Quux b")]
+    rows += [(45, items[5][1].upper()), (46, "What is 13 times 30"), (47, text.upper().rsplit(" ", 1)[0]), (48, "quuxes frobnicate"), (49, text.title())]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == {(40, 10), (41, 11), (42, 12), (43, 13), (44, 14), (45, 15), (49, 10)}
