@@ -27,8 +27,10 @@ PREFIXES = (4, 5, 6)
 #: Labelled documents that are read for training, at most, of each label; those with more distinct terms
 #: than MOST_TERMS are scored like any other, but not learned from, so that the sample's size is bounded.
 SAMPLE, MOST_TERMS = 3000, 16_384
-#: Terms that are kept: those whose presence tells most about the label.
+#: Terms that are kept: those whose presence tells most about the label, and all that tell it in pairs.
 TERMS, LEAST_DOCS, LEAST_GAIN = 4096, 4, 12.0
+#: Terms whose pairs are counted at once.
+PAIR_BLOCK = 1024
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 30, 64, 0.1, 1e-4
 _LEADING = np.ones(256, bool)
 _LEADING[0x80:0xC0] = False
@@ -85,6 +87,79 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-z))
 
 
+def pair_gains(sets: list[np.ndarray], label: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """For each of the terms `which` the most that it and another one of them tell about the label beyond
+    what both tell alone, in nats. Every pair is counted, block by block."""
+    n, m = len(sets), len(which)
+    column = np.full(1 << BITS, -1, np.int32)
+    column[which] = np.arange(m)
+    order = np.argsort(~label, kind="stable")  # label 1 first
+    p = int(label.sum())
+    held = [c[c >= 0] for c in (column[sets[i]] for i in order)]
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in held])
+    flat = np.concatenate(held) if held else np.zeros(0, np.int32)
+    by = np.argsort(flat, kind="stable")
+    rows = rows[by]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=m))])
+    del held, flat, by
+    k = np.arange(n + 1, dtype=float)
+    klogk = (k * np.log(np.maximum(k, 1))).astype(np.float32)
+
+    def block(lo: int) -> tuple[np.ndarray, np.ndarray]:
+        hi = min(m, lo + PAIR_BLOCK)
+        x = np.zeros((n, hi - lo), np.float32)
+        x[rows[ends[lo] : ends[hi]], np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))] = 1
+        return x[:p], x[p:]
+
+    def cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return klogk[a + b] - klogk[a] - klogk[b]
+
+    q = n - p
+    every = cell(np.array(p), np.array(q))
+    out = np.full(m, -np.inf)
+    for lo in range(0, m, PAIR_BLOCK):
+        ap, aq = block(lo)
+        pa_, qa = ap.sum(axis=0).astype(np.int32)[:, None], aq.sum(axis=0).astype(np.int32)[:, None]
+        left = every - cell(pa_, qa) - cell(p - pa_, q - qa)
+        for other in range(lo, m, PAIR_BLOCK):
+            bp, bq = (ap, aq) if other == lo else block(other)
+            pb, qb = bp.sum(axis=0).astype(np.int32)[None, :], bq.sum(axis=0).astype(np.int32)[None, :]
+            right = every - cell(pb, qb) - cell(p - pb, q - qb)
+            pab, qab = (ap.T @ bp).astype(np.int32), (aq.T @ bq).astype(np.int32)
+            rest = cell(pab, qab)
+            rest += cell(pa_ - pab, qa - qab)
+            rest += cell(pb - pab, qb - qab)
+            rest += cell(p - pa_ - pb + pab, q - qa - qb + qab)
+            more = every - rest - left - right
+            out[lo : lo + PAIR_BLOCK] = np.maximum(out[lo : lo + PAIR_BLOCK], more.max(axis=1))
+            out[other : other + PAIR_BLOCK] = np.maximum(out[other : other + PAIR_BLOCK], more.max(axis=0))
+    return out
+
+
+def telling_pairs(sets: list[np.ndarray], label: np.ndarray, has: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Terms not in `alone` that tell the label together with another term, the most telling first.
+
+    Counted are all pairs of terms in `alone` and of those in documents enough that a pair could pass: where the
+    sample's labels are halved, 35 documents or so. A pair has to tell more than LEAST_GAIN and the logarithm of the number of terms
+    that each one could be paired with, so that no more pass by chance than of single terms. Terms that the very same documents hold are one.
+    """
+    n, p = len(label), int(label.sum())
+    often = np.flatnonzero(has >= LEAST_DOCS)
+    least = LEAST_GAIN + np.log(max(len(often), 1))
+    which = often[has[often] >= least / np.log(n / min(p, n - p))]
+    which = np.union1d(which, alone)
+    code = np.random.default_rng(0).integers(0, 1 << 63, n, dtype=np.uint64)
+    sign = np.zeros(1 << BITS, np.uint64)
+    with np.errstate(over="ignore"):
+        for s, c in zip(sets, code, strict=True):
+            sign[s] += c
+    _, first, back = np.unique(sign[which], return_index=True, return_inverse=True)
+    gain = pair_gains(sets, label, which[first])[back]
+    gain[np.isin(which, alone)] = -np.inf
+    best = np.argsort(-gain, kind="stable")
+    return which[best[gain[best] > least]]
+
+
 def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> FactorizationMachine:
     """AdaGrad on the logistic loss; `sets` holds the distinct hashed terms of each document."""
     n = len(sets)
@@ -108,6 +183,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Factorizat
     gain = entropy(np.array([p]), np.array([q]))[0] - entropy(hit, here - hit) - entropy(p - hit, q - (here - hit))
     best = np.argsort(-gain, kind="stable")[:TERMS]
     best = often[best[gain[best] > LEAST_GAIN]]  # what chance alone gives is no reason to keep a term
+    best = np.concatenate([best, telling_pairs(sets, y > 0, has, best)])
     place[best] = np.arange(1, len(best) + 1)
     size = len(best) + 1
     rows = [np.unique(place[s][place[s] > 0]) for s in sets]
@@ -176,7 +252,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     of bounded size. A null doc_id is not held out and has no label. Repeated rows score
     alike, an empty table gives no rows, and without labels of both kinds every score is the same.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))  # of fixed size: BITS and TERMS
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))  # bounded by BITS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

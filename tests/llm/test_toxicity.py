@@ -59,3 +59,18 @@ def test_awkward_rows(spark):
     assert T.toxicity_scores(docs(spark, []), labelled(spark, labels)).collect() == []
     alike = T.toxicity_scores(docs(spark, rows[:5]), labelled(spark, [])).collect()
     assert len(alike) == 5 and len({r.score for r in alike}) == 1
+
+
+def test_terms_that_tell_only_in_pairs_are_learned_with_the_settings_as_they_are():
+    """Label 1 where one insult and a group stand together; either alone is as common in both labels."""
+    rng = np.random.default_rng(3)
+    y = np.arange(1200) % 2
+    noise = [rng.choice(np.arange(1000, 3000), 25, replace=False) for _ in y]
+    x = np.array([rng.permutation([(1, 1), (0, 0)])[0] if t else rng.permutation([(1, 0), (0, 1)])[0] for t in y])
+    sets = [np.unique(np.concatenate([np.flatnonzero(r) * 7 + 5, [99], z])).astype(np.int32) for r, z in zip(x, noise, strict=True)]
+    model = T.fit(sets, y)
+    assert set(np.flatnonzero(model.place)) == {5, 12}
+    rows = [r[r > 0] for r in (model.place[s] for s in sets)]
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    z = model.logits(np.concatenate(rows), owner, len(rows))
+    assert ((z > 0) == (y == 1)).mean() > 0.99
