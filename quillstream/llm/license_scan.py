@@ -43,8 +43,28 @@ NONE = (
     "Copyright law was the subject of the lecture.", "They fought for civil rights.", "A fishing licence costs ten dollars.", "He was licensed to practise medicine in the state.", "The public domain of letters grew.",
     "Turn left at the rights office.", "Permission to enter was refused at the gate.", "The redistribution of wealth was debated.",
 )
-#: A paragraph that holds none of these signs states no licence.
-STEMS = ("licen", "copyright", "permission", "redistribut", "rights", "public domain", "creative commons", "cc by", "cc-by", "gpl")
+#: Statements that only name a family, and lines with such names that state none; learned from, but no templates.
+SHORT = {
+    "apache-2.0": ("Distributed under Apache 2.0", "Available under Apache 2.0 terms", "Released under Apache-2.0"),
+    "mit": ("Available under MIT terms", "Released under MIT", "Distributed under MIT terms"),
+    "bsd-3-clause": ("Released under BSD 3-Clause", "Available under BSD terms", "Distributed under 3-clause BSD"),
+    "mpl-2.0": ("Released under MPL 2.0", "Available under MPL-2.0 terms", "Distributed under Mozilla MPL 2.0"),
+    "cc0": ("Released under CC0 1.0.", "Available under CC0", "Distributed under CC0 1.0 terms"),
+    "none": (
+        "Apache helicopters flew over the hills.", "The Apache people lived there.", "He studied at MIT for two years.", "Er kam mit dem Zug nach Hause.", "Sie sprach mit ihm und mit den Kindern.", "The limit was committed to paper.",
+        "The Mozilla foundation met.", "The BSD kernel booted.", "Kaffee mit Milch.", "Attribution of the painting is in doubt.", "Proprietary methods were used in the study.", "They talked under the tree about the terms of trade.",
+    ),
+}
+#: Names that stand in other texts, too.
+NAMES = ("mit", "apache", "bsd", "mpl", "mozilla", "gnu", "attribution", "proprietary")
+#: Words that state a licence beside a name, and nothing apart from it.
+LINKS = ("under", "the", "terms", "available", "released", "distributed", "version", "this", "work", "of")
+#: A paragraph that holds none of these signs states no licence: words of statements, and names of families. Names that
+#: stand in other texts, too, count beside a word that states a licence ("mit" is a German word).
+STEMS = (
+    "licen", "copyright", "permission", "redistribut", "rights", "public domain", "creative commons", "cc by", "cc-by", "gpl", "cc0", "apache 2", "apache-2", "bsd 3", "bsd-3", "3-clause bsd", "mpl 2", "mpl-2",
+    *(sign.format(n) for n in NAMES for sign in ("under {}", "under the {}", "{} terms")),
+)
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LABELS = (*TEMPLATES, "unknown", "none")
 SCALE = 1000
@@ -68,7 +88,7 @@ def variations(seed: int, copies: int) -> tuple[list[str], np.ndarray]:
     filler = [w for line in NONE for w in line.lower().rstrip(".").split() if not any(s in w for s in STEMS)]
     texts, labels = [], []
     for k, label in enumerate(LABELS):
-        for line in TEMPLATES.get(label, OTHER if label == "unknown" else NONE):
+        for line in (*TEMPLATES.get(label, OTHER if label == "unknown" else NONE), *SHORT.get(label, ())):
             for c in range(copies):
                 words = [w for w in line.split() if c == 0 or rng.random() > 0.08] or line.split()
                 if c % 3:
@@ -80,6 +100,13 @@ def variations(seed: int, copies: int) -> tuple[list[str], np.ndarray]:
     for _ in range(40 * copies):
         texts.append(" ".join(filler[i] for i in rng.integers(len(filler), size=int(rng.integers(3, 20)))))
         labels.append(len(LABELS) - 1)
+    for c in range(40 * copies):  # names alone state nothing
+        add = [filler[i] for i in rng.integers(len(filler), size=int(rng.integers(1, 20)))]
+        add = [w for x in add for w in ((x, LINKS[int(rng.integers(len(LINKS)))]) if rng.random() < 0.2 else (x,))]
+        at = int(rng.integers(0, len(add) + 1))
+        add[at:at] = [filler[int(rng.integers(len(filler)))], NAMES[c % len(NAMES)], filler[int(rng.integers(len(filler)))]]
+        texts.append(" ".join(add))
+        labels.append(len(LABELS) - 1)
     return texts, np.array(labels)
 
 

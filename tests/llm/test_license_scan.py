@@ -59,3 +59,9 @@ def test_only_spark_functions(spark):
 
 def test_empty_table(spark):
     assert L.scan_licenses(docs(spark, [])).collect() == []
+
+
+def test_statements_that_only_name_a_family(spark):
+    lines = ["Released under CC0 1.0.", "Distributed under Apache 2.0", "Available under MIT terms", "Released under BSD 3-Clause", "Available under MPL 2.0", "Er geht mit uns", "Apache riders came", "Released under MIT"]
+    got = {r.para: r.family for r in L.scan_licenses(docs(spark, [(1, "\n".join(lines))])).collect()}
+    assert got == {0: "cc0", 1: "apache-2.0", 2: "mit", 3: "bsd-3-clause", 4: "mpl-2.0", 7: "mit"}
