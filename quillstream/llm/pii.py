@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -351,8 +352,12 @@ def plausible(kind: int, piece: str) -> bool:
 
 
 def decoded_spans(text: str, starts: list[int], tags: np.ndarray, gain: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(start, end, kind, score) that windows agree on: a span that touches the inner edge of a
-    window is left to the neighbour, and of spans that overlap those of the largest total score stay."""
+    """(start, end, kind, score) that windows agree on: of spans that overlap those of the largest total score stay."""
+    return scheduled(candidates(text, starts, tags, gain))
+
+
+def candidates(text: str, starts: list[int], tags: np.ndarray, gain: np.ndarray) -> dict[tuple[int, int, int], float]:
+    """Scores of (start, end, kind); a span that touches the inner edge of a window is left to the neighbour."""
     found: dict[tuple[int, int, int], float] = {}
     for k, at in enumerate(starts):
         size = min(WINDOW, len(text) - at)
@@ -373,14 +378,28 @@ def decoded_spans(text: str, starts: list[int], tags: np.ndarray, gain: np.ndarr
                     key = (left, right, kind)
                     found[key] = max(found.get(key, 0.0), score)
             t = end
+    return found
+
+
+def scheduled(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int, int, float]]:
+    """Those of the largest total score that do not overlap."""
     spans = sorted(((s, e, k, v) for (s, e, k), v in found.items()), key=lambda x: x[1])
-    best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     ends = [s[1] for s in spans]
+    best, before, taken = [0.0], [], []
     for i, (s, _, _, v) in enumerate(spans):
-        j = int(np.searchsorted(ends, s, "right"))
-        take = best[min(j, i)][0] + v
-        best.append(max(best[i], (take, (*best[min(j, i)][1], i)), key=lambda x: x[0]))
-    return [spans[i] for i in best[-1][1]]
+        j = min(bisect_right(ends, s), i)
+        take = best[j] + v
+        before.append(j)
+        taken.append(take > best[i])
+        best.append(max(best[i], take))
+    out, i = [], len(spans)
+    while i:
+        if taken[i - 1]:
+            out.append(spans[i - 1])
+            i = before[i - 1]
+        else:
+            i -= 1
+    return out[::-1]
 
 
 def network_spans(tagger: Tagger, texts: list[str], most: int = 4096) -> list[list[tuple[int, int, int]]]:
@@ -394,7 +413,7 @@ def network_spans(tagger: Tagger, texts: list[str], most: int = 4096) -> list[li
             part = starts[max(0, lo - 1) : lo + most]
             out[-1].append((text, part))
     jobs = [(i, text, part) for i, blocks in enumerate(out) for text, part in blocks]
-    result: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    found: list[dict[tuple[int, int, int], float]] = [{} for _ in texts]
     at = 0
     while at < len(jobs):
         size, to = 0, at
@@ -412,10 +431,12 @@ def network_spans(tagger: Tagger, texts: list[str], most: int = 4096) -> list[li
         row = 0
         for i, text, part in jobs[at:to]:
             n = len(part)
-            result[i] += [(s, k, e) for s, e, k, _ in decoded_spans(text, part, tags[row : row + n], gain[row : row + n])]
+            for key, score in candidates(text, part, tags[row : row + n], gain[row : row + n]).items():
+                found[i][key] = max(found[i].get(key, 0.0), score)
             row += n
         at = to
-    return [sorted(set(r)) for r in result]
+    # blocks of one text meet here, so that overlaps are resolved over the whole of it
+    return [sorted((s, k, e) for s, e, k, _ in scheduled(f)) for f in found]
 
 
 def all_spans(base: list[tuple[int, int, int]], added: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

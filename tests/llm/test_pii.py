@@ -103,3 +103,18 @@ def test_query_rows(spark):
     spans = {r.doc_id: r.spans for r in got}
     assert spans[71] == "email:3:8" and spans[5] == "" and spans[70].startswith("email:2:10,ip:13:20,card:21:37,phone:38:55")
     assert P.personal_data(docs(spark, [])).collect() == []
+
+
+def test_overlaps_are_resolved_over_all_blocks_of_a_text(monkeypatch):
+    """Two windows in blocks of one each see overlapping spans; only one may stay."""
+    from quillstream.llm import pii as M
+
+    seen = iter([{(0, 10, 0): 1.0}, {(5, 15, 0): 2.0, (20, 25, 1): 1.0}])
+    monkeypatch.setattr(M, "window_starts", lambda text: [0, 5])
+    monkeypatch.setattr(M, "candidates", lambda *a: next(seen, {}))
+
+    class Tagger:
+        def decode(self, ids):
+            return ids, ids
+
+    assert M.network_spans(Tagger(), ["x" * 30], most=1) == [[(5, 0, 15), (20, 1, 25)]]
