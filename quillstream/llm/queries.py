@@ -66,4 +66,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op4_substring_dedup": unit_dedup.oracle_sql(),
+    "op6_license_scan": license_scan.oracle_sql(),
 }
