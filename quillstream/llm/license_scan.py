@@ -86,6 +86,7 @@ NONE = (
     "The Mozilla foundation met.", "The BSD kernel booted.", "Kaffee mit Milch.", "Attribution of the painting is in doubt.", "Proprietary methods were used in the study.", "They talked under the tree about the terms of trade.",
     "Software is provided by the vendor.", "The tables were reserved for guests.", "Creative people met in the commons.", "Common conditions of work were met.", "The program was released in May.", "Available rooms are listed below.", "A gnu grazed on the plain.",
     "The driving license was lost.", "His license expired in June.", "The license fee was raised.", "Poetic license explains the ending.",
+    "The cat hid under the table.", "Under the bridge ran water.", "He sat under the old oak and read.", "They were under the impression that it rained.", "Prices fell under the new government.",
 )
 #: Frequent words of several languages.
 FREQUENT = (
