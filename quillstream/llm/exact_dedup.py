@@ -10,7 +10,7 @@ that share a key, compares their bytes and writes a record for each chain link.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,9 @@ BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 50_000
 #: Texts that a task remembers having sent, in bytes; it sends a text again when they are forgotten.
 SENT_BYTES = 48 << 20
+#: A text that more tasks than HOT carried is met in several places before its owner; the MOST_HOT keys that
+#: were carried most are listed, so that any other key has a smaller share than 1 / MOST_HOT of all carriers.
+HOT, MOST_HOT = 512, 10_000
 
 
 def normalise(text: bytes) -> bytes:
@@ -35,34 +38,44 @@ def normalise(text: bytes) -> bytes:
     return text.translate(None, DELETED)
 
 
-def fingerprint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest every row; carry the normalised text where this task has not sent it yet."""
-    sent: set[bytes] = set()
-    size = 0
-    for batch in batches:
-        for at, texts in slices(batch.column("text"), 4 << 20):
-            points = pc.utf8_length(texts).cast(pa.int64())
-            sha, key, n_bytes, body = [], [], [], []
-            for raw in texts.cast(pa.large_binary()).to_pylist():
-                norm = normalise(raw)
-                digest = hashlib.sha256(norm).digest()
-                sha.append(digest)
-                key.append(int.from_bytes(digest[:8], "big", signed=True))
-                n_bytes.append(len(norm))
-                if digest in sent:
-                    body.append(None)
-                    continue
-                body.append(norm)
-                sent.add(digest)
-                size += len(norm)
-                if size > SENT_BYTES:
-                    sent.clear()
-                    size = 0
-            ids, tags = (batch.column(c).slice(at, len(texts)) for c in ("doc_id", "tag"))
-            yield pa.RecordBatch.from_arrays(
-                [ids, tags, points, pa.array(n_bytes, pa.int64()), pa.array(key, pa.int64()), pa.array(sha, pa.binary()), pa.array([b is not None for b in body]), pa.array(body, pa.binary())],
-                ["doc_id", "tag", "points", "n_bytes", "key", "sha", "carries", "body"],
-            )
+def sha256(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()
+
+
+def fingerprint(digest: Callable[[bytes], bytes]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Digest every row; carry the normalised text where this task has not sent one of the same bytes yet,
+    and refer to the row that carried it otherwise."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, list[tuple[int, bytes]]] = {}
+        size = 0
+        for batch in batches:
+            for at, texts in slices(batch.column("text"), 4 << 20):
+                points = pc.utf8_length(texts).cast(pa.int64())
+                rids = batch.column("rid").slice(at, len(texts))
+                sha, key, n_bytes, ref, body = [], [], [], [], []
+                for rid, raw in zip(rids.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), strict=True):
+                    norm = normalise(raw)
+                    name = digest(norm)
+                    sha.append(name)
+                    key.append(int.from_bytes(name[:8], "big", signed=True))
+                    n_bytes.append(len(norm))
+                    known = next((r for r, held in sent.get(name, ()) if held == norm), None)
+                    ref.append(rid if known is None else known)
+                    body.append(norm if known is None else None)
+                    if known is None:
+                        if size > SENT_BYTES:
+                            sent.clear()
+                            size = 0
+                        sent.setdefault(name, []).append((rid, norm))
+                        size += len(norm)
+                ids, tags = (batch.column(c).slice(at, len(texts)) for c in ("doc_id", "tag"))
+                yield pa.RecordBatch.from_arrays(
+                    [rids, ids, tags, points, pa.array(n_bytes, pa.int64()), pa.array(key, pa.int64()), pa.array(sha, pa.binary()), pa.array(ref, pa.int64()), pa.array(body, pa.binary())],
+                    ["rid", "doc_id", "tag", "points", "n_bytes", "key", "sha", "ref", "body"],
+                )
+
+    return run
 
 
 class Directory:
@@ -88,7 +101,7 @@ class Directory:
 def build_directory(keyed: DataFrame, capacity: int = BUCKET_BYTES, bits: int = 10, deepest: int = 50) -> Directory:
     """Split buckets until each holds `capacity` bytes at most or its keys are equal in `deepest` bits.
 
-    `keyed` has a row (key, n_bytes) for each distinct text. Loads are counted by
+    `keyed` has a row (key, n_bytes) for each key. Loads are counted by
     Spark for `bits` more bits of the overfull buckets alone; the driver sees sums
     for key prefixes: 2^bits for each bucket that is still overfull, of which there
     are MOST_BUCKETS at most.
@@ -119,80 +132,99 @@ def build_directory(keyed: DataFrame, capacity: int = BUCKET_BYTES, bits: int =
     return directory
 
 
-def own_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chain rows that come sorted by key: one record for each different text of a key.
+def chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chain rows that come sorted by (bucket, key): rows of equal bytes get one slot, numbered for each key.
 
-    Only the chain of one key is held: the texts that share 64 bits of SHA-256.
+    `first` is the row that opened the slot. Only the chain of one key is held: the
+    different texts that share 64 bits of SHA-256.
     """
-    chain: list[tuple[bytes, bytes]] = []
+    held: list[tuple[int, bytes]] = []
     last = None
     for batch in batches:
-        rows: list[tuple] = []
-        for bucket, key, sha, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "sha", "body")), strict=True):
-            if key != last:
-                chain, last = [], key
-            for digest, held in chain:
-                if held == body:
-                    break
-                if digest == sha:
-                    raise ValueError("two different texts have one SHA-256")
-            else:
-                rows.append((bucket, key, len(chain), sha))
-                chain.append((sha, body))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                ["bucket", "key", "slot", "sha"],
-            )
-
-
-def build_index(docs: DataFrame, capacity: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows, index), both on shared files.
-
-    rows: rid, doc_id, tag, sha for each document. index: bucket, key, slot, sha,
-    group_size, keep_id, keep_rid for each distinct text.
+        slot, first = [], []
+        for bucket, key, ref, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "ref", "body")), strict=True):
+            if (bucket, key) != last:
+                held, last = [], (bucket, key)
+            at = next((k for k, (_, text) in enumerate(held) if text == body), len(held))
+            if at == len(held):
+                held.append((ref, body))
+            slot.append(at)
+            first.append(held[at][0])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("bucket", "key", "ref")] + [pa.array(slot, pa.int32()), pa.array(first, pa.int64())], ["bucket", "key", "ref", "slot", "first"])
+
+
+def chained(carriers: DataFrame, owners: int) -> DataFrame:
+    """(bucket, key, ref, slot, first) of carriers(bucket, key, ref, body); a bucket has one owner task."""
+    dealt = carriers.repartition(owners, "bucket").sortWithinPartitions("bucket", "key")
+    return dealt.mapInArrow(tidy(chain), "bucket int, key bigint, ref bigint, slot int, first bigint")
+
+
+def build_index(docs: DataFrame, capacity: int = BUCKET_BYTES, digest: Callable[[bytes], bytes] = sha256, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, refs, index), all on shared files.
+
+    rows: rid, doc_id, tag, sha, ref for each document; ref is the row of the same task that carried
+    its text. refs: ref, key, slot. index: bucket, key, slot, group_size, keep_id, keep_rid for each
+    distinct text, which key and slot name.
     """
-    plain = project(docs, doc_id="bigint", text="string").withColumn("tag", text_tag("text"))
+    spark = docs.sparkSession
+    plain = project(docs, doc_id="bigint", text="string").withColumn("tag", text_tag("text")).withColumn("rid", F.monotonically_increasing_id())
     rows = plain.mapInArrow(
-        tidy(fingerprint),
-        "doc_id bigint, tag bigint, points bigint, n_bytes bigint, key bigint, sha binary, carries boolean, body binary",
-    ).withColumn("rid", F.monotonically_increasing_id())
-    rows = stage_table(rows, "exact-rows")
-    best = F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "rid")
-    groups = (
-        rows.groupBy("sha")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best"))
-        .select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
+        tidy(fingerprint(digest)),
+        "rid bigint, doc_id bigint, tag bigint, points bigint, n_bytes bigint, key bigint, sha binary, ref bigint, body binary",
     )
-    bounds = build_directory(rows.where("carries").groupBy("key").agg(F.max("n_bytes").alias("n_bytes")), capacity).bounds()
+    rows = stage_table(rows, "exact-rows")
+    carriers = rows.where("body is not null")
+    # one length for each key: texts that share a key are rare
+    keyed = stage_table(carriers.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n")), "exact-keys")
+    bounds = build_directory(keyed, capacity).bounds()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(bounds))
 
     @F.pandas_udf("int")  # the key alone goes to Python
     def bucket_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64).view(np.uint64), "right") - 1, dtype="int32")
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owned = (
-        rows.where("carries")
-        .select(bucket_of("key").alias("bucket"), "key", "sha", "body")
-        .repartition(max(parts, len(bounds)), "bucket")
-        .sortWithinPartitions("bucket", "key")
-        .mapInArrow(tidy(own_bucket), "bucket int, key bigint, slot int, sha binary")
+    texts = carriers.select(bucket_of("key").alias("bucket"), "key", "ref", "body")
+    often = [r["key"] for r in keyed.where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()]
+    if often:
+        # many tasks carried these: their copies meet in several places first, and one of each place goes on
+        listed = F.broadcast(spark.createDataFrame([(k,) for k in often], "key bigint"))  # MOST_HOT keys
+        part = F.pmod(F.xxhash64("ref"), F.lit(max(2, parts))).cast("int")
+        near = stage_table(chained(texts.join(listed, "key", "left_semi").withColumn("bucket", part), parts).select("ref", "first"), "exact-near")
+        texts = texts.join(listed, "key", "left_anti").unionByName(texts.join(near.where("ref = first").select("ref"), "ref", "left_semi"))
+    owned = stage_table(chained(texts, parts).select("bucket", "key", "ref", "slot"), "exact-owned")
+    refs = owned
+    if often:
+        copies = near.where("ref <> first").join(owned.withColumnRenamed("ref", "first"), "first").select("bucket", "key", "ref", "slot")
+        refs = stage_table(owned.union(copies), "exact-refs")
+    # rows that refer to one carrier were read by one task, so they are counted before anything moves
+    best = F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "rid")
+    counted = rows.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
+    index = (
+        refs.join(counted, "ref")
+        .groupBy("bucket", "key", "slot")
+        .agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
+        .select("bucket", "key", "slot", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
     )
-    index = stage_table(owned.join(groups, "sha"), "exact-index")
-    return rows.select("rid", "doc_id", "tag", "sha"), index
+    return rows.select("rid", "doc_id", "tag", "sha", "ref"), refs.select("ref", "key", "slot"), stage_table(index, "exact-index")
+
+
+def looked_up(docs: DataFrame, capacity: int, digest: Callable[[bytes], bytes], hot: int) -> DataFrame:
+    """Every document with the index entry of its text."""
+    rows, refs, index = build_index(docs, capacity, digest, hot)
+    return rows.join(refs.join(index, ["key", "slot"]).select("ref", "keep_id", "keep_rid", "group_size"), "ref")
 
 
-def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES, digest: Callable[[bytes], bytes] = sha256, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, keep_id, group_size, kept, text_sha256), one for each document.
 
     Texts are equal when they are identical after deleting the characters of
     [\\x20\\x09-\\x0D]; null counts as empty, so all null, empty and blank texts form
     one group. The row with the most code points stays, then the one with the
     smallest doc_id; a null doc_id comes after all others, and of rows that repeat
-    both, one stays. Texts of any length are read whole. An empty table gives no rows.
+    both, one stays. Bytes decide: texts that share a digest are chained apart. Texts of
+    any length are read whole. An empty table gives no rows.
     """
-    rows, index = build_index(docs, capacity)
-    return rows.join(index.select("sha", "keep_id", "keep_rid", "group_size"), "sha").select(
+    return looked_up(docs, capacity, digest, hot).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -201,10 +233,12 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     )
 
 
-def drop_exact_copies(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
-    """The documents that exact_groups keeps, with all their columns, one of each group."""
-    rows, index = build_index(docs, capacity)
-    judged = rows.join(index.select("sha", "keep_rid"), "sha")
+def drop_exact_copies(docs: DataFrame, capacity: int = BUCKET_BYTES, digest: Callable[[bytes], bytes] = sha256, hot: int = HOT) -> DataFrame:
+    """The documents that exact_groups keeps, with all their columns, one of each group.
+
+    Nulls, ties and repeated rows are judged as there; an empty table stays empty.
+    """
+    judged = looked_up(docs, capacity, digest, hot)
     return retain(docs, judged.select("doc_id", "tag", (F.col("rid") == F.col("keep_rid")).alias("kept")))
 
 

@@ -54,8 +54,34 @@ def test_directory_doubles_and_splits_only_what_is_full(spark):
 
 
 def test_equal_keys_are_chained_by_bytes():
-    batch = pa.RecordBatch.from_pydict({"bucket": pa.array([0] * 5, pa.int32()), "key": [7] * 4 + [8], "sha": [b"a", b"b", b"a", b"c", b"a"], "body": [b"1", b"2", b"1", b"3", b"1"]})
-    rows = pa.Table.from_batches(E.own_bucket([batch])).to_pylist()
-    assert [(r["key"], r["slot"], r["sha"]) for r in rows] == [(7, 0, b"a"), (7, 1, b"b"), (7, 2, b"c"), (8, 0, b"a")]
-    with pytest.raises(ValueError):
-        list(E.own_bucket([pa.RecordBatch.from_pydict({"bucket": pa.array([0, 0], pa.int32()), "key": [7, 7], "sha": [b"a", b"a"], "body": [b"1", b"2"]})]))
+    batch = pa.RecordBatch.from_pydict({"bucket": pa.array([0] * 5, pa.int32()), "key": [7] * 4 + [8], "ref": [1, 2, 3, 4, 5], "body": [b"1", b"2", b"1", b"3", b"1"]})
+    rows = pa.Table.from_batches(E.chain([batch])).to_pylist()
+    assert [(r["ref"], r["slot"], r["first"]) for r in rows] == [(1, 0, 1), (2, 1, 2), (3, 0, 1), (4, 2, 4), (5, 0, 5)]
+
+
+def few(text):
+    """Digests that many texts share."""
+    return b"collide" + bytes([len(text) % 2])
+
+
+@pytest.mark.parametrize("hot", [1, 512])
+@pytest.mark.parametrize("digest", [few, E.sha256])
+def test_bytes_decide_where_digests_collide(spark, digest, hot):
+    rng = random.Random(5)
+    rows = [(k, f"text {rng.randrange(30)}" + " " * rng.randrange(3)) for k in range(400)] + awkward(rng)
+    table = docs(spark, rows).repartition(9)
+    got = E.exact_groups(table, 300, digest, hot).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[norm(t)].append((-len(t or ""), i is None, i or 0, i))
+    expected = sorted((str(i), str(min(groups[norm(t)])[3]), len(groups[norm(t)])) for i, t in rows)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == expected
+    assert sum(r.kept for r in got) == len(groups)
+    assert E.drop_exact_copies(table, 300, digest, hot).count() == len(groups)
+
+
+def test_groups_come_from_the_index(spark, monkeypatch):
+    whole = E.build_index(docs(spark, [(1, "a"), (2, "b"), (3, "a")]))
+    lost = (*whole[:2], whole[2].limit(1))
+    monkeypatch.setattr(E, "build_index", lambda *_: lost)
+    assert E.exact_groups(docs(spark, [])).count() in (1, 2)
