@@ -1,11 +1,12 @@
 """Similarity join on word n-gram sets: MinHash banding, then exact verification.
 
 Bands and rows are the pair of least work that reaches a target recall at the
-threshold. Texts with one n-gram set are one class from the start. Class
-representatives whose band hashes meet form candidate families (components over
-band buckets); within a family every pair is verified on the full n-gram sets, in
-blocks whose pairs are dealt over all tasks, and only counts and spanning links
-leave a block.
+threshold. Texts with one n-gram set are one class from the start. Sets that meet in a
+band bucket are candidates. Those that meet a common one in two bands or more form families,
+which chance does not join however many texts there are; within a family every pair is
+verified on the full n-gram sets, and pairs across families are verified in
+the first bucket that they share. Blocks of pairs are dealt over all tasks, and only counts
+and spanning links leave a block.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quillstream.llm.kernels import shingle_sets, slices, tidy
 from quillstream.llm.shared import components, project, retain, same, stage_table, text_tag
@@ -27,9 +29,11 @@ from quillstream.llm.shared import components, project, retain, same, stage_tabl
 SIZE = 5
 THRESHOLD = Fraction(4, 5)
 RECALL = 0.9995
-#: Texts and n-grams of a block. A family of m texts has about m / BLOCK_ROWS blocks.
+#: Sets and n-grams of a block. A family of m sets has about m / BLOCK_ROWS blocks.
 BLOCK_ROWS = 96
 BLOCK_GRAMS = 1 << 16
+#: Bands in which sets have to meet a common one to be of one family.
+MEETINGS = 2
 
 
 @dataclass(frozen=True)
@@ -136,66 +140,128 @@ def fingerprints(docs: DataFrame, size: int, banding: Banding) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id bigint, tag bigint, digest binary, grams bigint, bands array<bigint>")
 
 
-def families(sets: DataFrame, stars: int) -> DataFrame:
-    """(node, family) of the sets that share a band bucket with another, over sets(node, bands); `stars` bounds the bands of all sets."""
+def meetings(sets: DataFrame, stars: int) -> DataFrame:
+    """(node, band, bucket, least) of the sets that share a band bucket with another, over sets(node, bands); `stars` bounds the bands of all sets."""
     bands = sets.select("node", F.posexplode("bands").alias("band", "bucket"))
-    least = bands.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b")).where("n > 1").select("band", "bucket", "b")
+    least = bands.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
     least = stage_table(least, "ngram-buckets", stars)  # a table, so that the join can split a bucket that many share
-    star = bands.join(least, ["band", "bucket"]).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    return components(star, "families", stars).select("node", F.col("root").alias("family"))
+    return stage_table(bands.join(least, ["band", "bucket"]), "ngram-meetings", stars)
 
 
-def verify(members: DataFrame, docs: DataFrame, size: int, threshold: Fraction, total: int) -> tuple[DataFrame, DataFrame]:
-    """Exact links within families.
+def families(met: DataFrame, stars: int) -> DataFrame:
+    """(node, family): the components of sets that meet a bucket's least one in MEETINGS bands or more."""
+    star = met.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return components(star.where(F.col("n") >= MEETINGS).select("a", "b"), "families", stars).select("node", F.col("root").alias("family"))
 
-    members: (node, family, digest, grams, copies, doc_id, tag) with one row for each
+
+def work_units(sets: DataFrame, met: DataFrame, threshold: Fraction, stars: int) -> DataFrame:
+    """(node, units): in which units each set is verified, and against which blocks.
+
+    A unit is a family (band -1) or a bucket that several families meet in. In a family all pairs are verified; in a
+    bucket its largest family is verified against the others, and those against each other. Sets of
+    BLOCK_GRAMS n-grams or more have units of their own for each class of sizes, as similar sets differ
+    little in size; they are guests in the class below, where they meet no other guest.
+    """
+    own = stage_table(families(met, stars), "ngram-family", stars)
+    step = float(1 / threshold) * 1.01
+    size = F.when(F.col("grams") < BLOCK_GRAMS, 0).otherwise(1 + F.floor(F.log(F.col("grams") / BLOCK_GRAMS) / float(np.log(step)))).cast("int")
+    sized = sets.select("node", "grams", size.alias("size")).distinct()
+    inside = own.select("node", F.lit(-1).alias("band"), F.col("family").alias("bucket"), "family")
+    across = met.join(own, "node", "left").select("node", "band", "bucket", F.coalesce("family", "node").alias("family"))
+    several = across.groupBy("band", "bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("band", "bucket")
+    across = across.join(stage_table(several, "ngram-several", stars), ["band", "bucket"])
+    roles = F.when(F.col("size") == 0, F.array(F.lit(0))).otherwise(F.array("size", F.col("size") - 1))
+    rows = inside.unionByName(across).join(sized, "node").withColumn("class", F.explode(roles)).withColumn("guest", F.col("class") < F.col("size"))
+    rows = stage_table(rows.drop("size"), "ngram-roles", stars)
+    unit = ["band", "bucket", "class"]
+
+    def blocks(n: Column, grams: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(grams / BLOCK_GRAMS)).cast("int")
+
+    parts = rows.groupBy(*unit, "family").agg(F.count(F.lit(1)).alias("c"), F.sum("grams").alias("g"))
+    shape = parts.groupBy(*unit).agg(F.sum("c").alias("n"), F.sum("g").alias("total"), F.max(F.struct("c", "g", "family")).alias("big"))
+    shape = shape.where((F.col("n") > 1) & ((F.col("band") < 0) | (F.col("n") > F.col("big.c")))).select(
+        *unit,
+        F.col("big.family").alias("largest"),
+        blocks(F.col("big.c"), F.col("big.g")).alias("many"),
+        blocks(F.col("n") - F.col("big.c"), F.col("total") - F.col("big.g")).alias("rest"),
+    )
+    rows = rows.join(stage_table(shape, "ngram-units", stars), unit)
+    main = F.col("family") == F.col("largest")
+    block = F.when(main, F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.col("many") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    # the blocks of the largest family come first; in a bucket they do not meet each other
+    first, last = F.when((F.col("band") >= 0) & main, F.col("many")).otherwise(0), F.col("many") + F.col("rest") - 1
+    rows = rows.select("node", F.struct(*unit, "guest", "family", block.alias("block"), first.cast("int").alias("first"), last.cast("int").alias("last")).alias("unit"))
+    return rows.groupBy("node").agg(F.collect_list("unit").alias("units"))
+
+
+def block_links(rows: list[dict], band: int, i: int, j: int, threshold: Fraction) -> np.ndarray:
+    """Boolean matrix of the linked pairs that this pair of blocks has to find, over rows in order of their blocks."""
+    sets = [np.frombuffer(r["body"], np.uint64) for r in rows]
+    n = len(sets)
+    links = np.zeros((n, n), bool)
+    if i == j:
+        links[:] = pair_links(sets + sets, n, threshold)
+        np.fill_diagonal(links, False)
+    else:
+        split = sum(r["block"] == i for r in rows)
+        if 0 < split < n:
+            links[:split, split:] = pair_links(sets, split, threshold)
+            links |= links.T
+    guest = np.array([r["guest"] for r in rows], bool)
+    links &= ~(guest[:, None] & guest[None, :])
+    if band >= 0:
+        family = np.array([r["family"] for r in rows], np.int64)
+        bands = np.array([r["bands"] for r in rows], np.int64)
+        links &= family[:, None] != family[None, :]
+        for a, b in zip(*np.nonzero(links), strict=True):  # a pair counts in the first band that it shares
+            links[a, b] = int(np.argmax(bands[a] == bands[b])) == band
+    return links
+
+
+def verify(members: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Exact links between candidates.
+
+    members: (digest, copies, bands, doc_id, tag, units) with one row for each
     different set. Returns links (digest, n) with the number of documents linked to
     each set by another set, and edges (a, b) that connect what is linked.
     """
-    count = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g")).where("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
-    members = members.join(stage_table(count.select("family", blocks.alias("blocks")), "ngram-families", total), "family")
-    members = members.select("digest", "family", "copies", "blocks", F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
+    members = members.select("digest", "copies", "bands", "units", F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
     texts = project(docs, doc_id="bigint", text="string").withColumn("tag", text_tag("text"))
     # one text for each set; several rows that repeat doc_id and text are told apart by nobody and fall together below
     chosen = texts.join(members, same(F.col("doc_id"), F.col("__id")) & (F.col("tag") == F.col("__tag")))
+    rest = ["digest", "copies", "bands", "units"]
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column("text")):
                 body = pa.array([s.tobytes() for s in shingle_sets(part, size)], pa.binary())
-                rest = [batch.column(c).slice(at, len(part)) for c in ("digest", "family", "copies", "blocks")]
-                yield pa.RecordBatch.from_arrays([*rest, body], ["digest", "family", "copies", "blocks", "body"])
-
-    rows = chosen.select("digest", "family", "copies", "blocks", "text").mapInArrow(tidy(grams), "digest binary, family bigint, copies bigint, blocks int, body binary")
-    block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("digest"), F.col("blocks").cast("bigint")).cast("int"))
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "copies", "body")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(part)) for c in rest), body], [*rest, "body"])
+
+    chosen = chosen.select(*rest, "text")
+    rows = chosen.mapInArrow(tidy(grams), StructType([*chosen.drop("text").schema, StructField("body", BinaryType())]))
+    rows = rows.withColumn("u", F.explode("units")).withColumn("other", F.explode(F.sequence("u.first", "u.last")))
+    rows = rows.select(
+        *(F.col(f"u.{c}") for c in ("band", "bucket", "class", "guest", "family", "block")),
+        F.least("u.block", "other").alias("i"),
+        F.greatest("u.block", "other").alias("j"),
+        "digest",
+        "copies",
+        F.when(F.col("u.band") >= 0, F.col("bands")).alias("bands"),
+        "body",
+    )
 
     def check(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, i, j = (k.as_py() for k in key)
-        digest, block, copies, body = (table.column(c).to_pylist() for c in ("digest", "block", "copies", "body"))
-        first = {d: k for k, d in reversed(list(enumerate(digest)))}  # repeated rows count once
-        order = sorted(first.values(), key=lambda k: (block[k], digest[k]))
-        sets = [np.frombuffer(body[k], np.uint64) for k in order]
-        weight = np.array([copies[k] for k in order], np.int64)
-        names = [digest[k] for k in order]
-        if not names:
-            return pa.table({"digest": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.binary())})
-        if i == j:
-            links = pair_links(sets + sets, len(sets), threshold)
-            np.fill_diagonal(links, False)
-        else:
-            split = sum(block[k] == i for k in order)
-            links = np.zeros((len(sets), len(sets)), bool)
-            if 0 < split < len(sets):
-                links[:split, split:] = pair_links(sets, split, threshold)
-                links |= links.T
+        band, _, _, i, j = (k.as_py() for k in key)
+        first = {r["digest"]: r for r in table.select(["digest", "block", "guest", "family", "copies", "bands", "body"]).to_pylist()}  # repeated rows count once
+        these = sorted(first.values(), key=lambda r: (r["block"], r["digest"]))
+        links = block_links(these, band, i, j, threshold)
+        weight = np.array([r["copies"] for r in these], np.int64)
         some = np.flatnonzero(links.any(axis=1))
         root = roots(links)
-        return pa.table({"digest": pa.array([names[k] for k in some], pa.binary()), "n": pa.array((links[some] @ weight).astype(np.int64)), "root": pa.array([names[root[k]] for k in some], pa.binary())})
+        return pa.table({"digest": pa.array([these[k]["digest"] for k in some], pa.binary()), "n": pa.array((links[some] @ weight).astype(np.int64)), "root": pa.array([these[root[k]]["digest"] for k in some], pa.binary())})
 
-    linked = rows.groupBy("family", "i", "j").applyInArrow(check, "digest binary, n bigint, root binary")
+    linked = rows.groupBy("band", "bucket", "class", "i", "j").applyInArrow(check, "digest binary, n bigint, root binary")
     linked = stage_table(linked, "ngram-links")
     counts = linked.groupBy("digest").agg(F.sum("n").alias("n"))
     return counts, linked.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b"))
@@ -215,9 +281,10 @@ def linked_sets(docs: DataFrame, size: int, threshold: Fraction, recall: float)
     )
     total = rows.count()
     sets = stage_table(sets, "ngram-sets")
-    family = families(sets, total * banding.bands)
-    members = stage_table(sets.drop("bands").join(family, "node"), "ngram-members", total)
-    counts, edges = verify(members, docs, size, threshold, total)
+    stars = total * banding.bands
+    units = work_units(sets, meetings(sets, stars), threshold, stars)
+    members = stage_table(sets.join(units, "node"), "ngram-members", total)
+    counts, edges = verify(members, docs, size, threshold)
     root = components(edges, "classes", total).select(F.col("node").alias("digest"), "root")
     linked = (
         sets.select("digest", "copies", "doc_id", "tag")

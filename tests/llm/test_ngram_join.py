@@ -44,9 +44,12 @@ def near_copies(rng, groups=6, copies=25):
     return rows + [(k + i, " ".join(words(rng, 80))) for i in range(60)]
 
 
-@pytest.mark.parametrize("block", [96, 5])
-def test_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "meetings", "grams_"), [(96, 2, 1 << 16), (5, 2, 1 << 16), (5, 21, 1 << 16), (5, 6, 40)])
+def test_against_all_pairs(spark, monkeypatch, block, meetings, grams_):
+    """Families alone, buckets alone, and both; sets in classes of sizes."""
     monkeypatch.setattr(N, "BLOCK_ROWS", block)
+    monkeypatch.setattr(N, "MEETINGS", meetings)
+    monkeypatch.setattr(N, "BLOCK_GRAMS", grams_)
     rng = random.Random(8)
     rows = near_copies(rng) + awkward(rng)
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in N.similar_texts(docs(spark, rows)).collect())
@@ -81,3 +84,22 @@ def test_threshold_is_exact():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)  # 8 of 10
     assert N.pair_links([a, b], 1, Fraction(4, 5)).all()
     assert not N.pair_links([a, b], 1, Fraction(81, 100)).any()
+
+
+def test_recall_of_a_stated_query_set(spark):
+    """Links of all documents whose id is divisible by 20, against all documents of a table."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3000")
+    sets = {r.doc_id: grams(r.text) for r in table.collect()}
+    got = {r.doc_id: r.n_links for r in N.similar_texts(table).collect()}
+    want = {i: sum(j != i and bool(s) and 5 * len(s & t) >= 4 * len(s | t) for j, t in sets.items()) for i, s in sets.items() if i % 20 == 0}
+    assert sum(want.values()) > 10
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.99 * sum(want.values())
+
+
+def test_long_texts_in_a_family(spark):
+    rng = random.Random(12)
+    w = words(rng, 150_000)
+    rows = [(k, " ".join([*w[: 75_000 * k], *words(rng, 20), *w[75_000 * k :]])) for k in range(3)] + [(9, " ".join(w[:90_000])), (10, " ".join(w[:100_000]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in N.similar_texts(docs(spark, rows)).collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (0, 2), 9: (9, 1), 10: (9, 1)}
