@@ -4,8 +4,9 @@ Numbers, names and units become typed placeholders; windows of template tokens a
 hashed. Benchmark windows fill a Bloom filter of bounded size that documents are
 read against, and what passes is hash-joined with the benchmark's windows. Windows
 of one item that lie on one diagonal or on neighbouring ones in a document form an alignment. It counts when
-it covers enough of the item and when its slots are consistent: one value of the
-item always stands for one value of the document, so re-parameterised questions are
+it covers enough of the item and when its slots are consistent: a name of the item always
+stands for one name of the document, and no other name does; a number or unit stands for one in each of its roles,
+a role being the number and the token after it. So re-parameterised questions are
 caught and chance meetings of placeholders are not. Windows of plain lower-cased words go the
 same way beside them, for copies of whole items.
 """
@@ -129,6 +130,12 @@ def plain(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return h, h, np.zeros(len(h), bool), at
 
 
+def roles(t: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """What a placeholder is known by: a name by its value, with the last bit 0, and all else by value and next token, with the last bit 1."""
+    after = np.append(t[1:], np.uint64(0))
+    return np.where(t == NAME, value & ~np.uint64(1), mix(value ^ mix(after)) | np.uint64(1))
+
+
 def text_windows(t: np.ndarray, typed: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the windows inside texts that have enough literal tokens."""
     hashes = windows(t, size)
@@ -147,18 +154,19 @@ def bloom_rows(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def window_rows(table: DataFrame, key: str, sizes: tuple[tuple[int, int], ...] = (), bloom=None, bits: int = 0) -> DataFrame:
-    """(key, tag, kind, size, hash, pos, values, total, ahead) of the windows of each text, or of those a Bloom filter lets pass.
+    """(key, tag, kind, size, hash, pos, values, roles, total, ahead) of the windows of each text, or of those a Bloom filter lets pass.
 
     kind tells narrow and wide templates and plain words apart; `sizes` are the pairs of kind and size that a filter knows. values are the word hashes at the
-    placeholders of a window, in order; total is the number of the text's windows of that kind and size; bit i of ahead tells that there is a window i + 1
+    placeholders of a window, in order, and roles what they are known by; total is the number of the text's windows of that kind and size; bit i of ahead tells that there is a window i + 1
     tokens on. A text of fewer than SIZE tokens has one window of its own length, three at least but for plain words, where no filter is given.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, part in slices(batch.column("text")):
-                rows: list[list] = [[] for _ in range(8)]
+                rows: list[list] = [[] for _ in range(9)]
                 for kind, (t, h, typed, at) in enumerate([*templates(part), plain(part)]):
+                    role = roles(t, h)
                     long = np.diff(at)
                     if bloom is not None:
                         own = [s for k, s in sizes if k == kind]
@@ -188,19 +196,19 @@ def window_rows(table: DataFrame, key: str, sizes: tuple[tuple[int, int], ...] =
                             ahead |= (stands[place + i + 1] & (place + i + 1 < at[owner + 1])).astype(np.int64) << i
                         for p, k, x, a in zip(place.tolist(), owner.tolist(), hashes.view(np.int64).tolist(), ahead.tolist(), strict=True):
                             slot = np.flatnonzero(typed[p : p + size])
-                            for column, value in zip(rows, (k, kind, size, x, p - int(at[k]), h[p + slot].view(np.int64), int(total[k]), a), strict=True):
+                            for column, value in zip(rows, (k, kind, size, x, p - int(at[k]), h[p + slot].view(np.int64), role[p + slot].view(np.int64), int(total[k]), a), strict=True):
                                 column.append(value)
                 if rows[0]:
                     take = pa.array(np.array(rows[0], np.int64) + start)
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("key").take(take), batch.column("tag").take(take), *[pa.array(c, k) for c, k in zip(rows[1:], kinds, strict=True)]],
-                        ["key", "tag", "kind", "size", "hash", "pos", "values", "total", "ahead"],
+                        ["key", "tag", "kind", "size", "hash", "pos", "values", "roles", "total", "ahead"],
                     )
 
     rows = project(table, **{key: "bigint", "text": "string"})
     rows = rows.select(F.col(key).alias("key"), "text").withColumn("tag", text_tag("text"))
-    return rows.mapInArrow(tidy(run), "key bigint, tag bigint, kind int, size int, hash bigint, pos bigint, values array<bigint>, total bigint, ahead bigint")
+    return rows.mapInArrow(tidy(run), "key bigint, tag bigint, kind int, size int, hash bigint, pos bigint, values array<bigint>, roles array<bigint>, total bigint, ahead bigint")
 
 
 def make_bloom(item_windows: DataFrame, bits: int) -> np.ndarray:
@@ -222,7 +230,7 @@ def make_bloom(item_windows: DataFrame, bits: int) -> np.ndarray:
 
 
 def chained(points: list[tuple[int, int, int, int, list[int], list[int]]]) -> int:
-    """How many windows of the item a chain of diagonals matches, from (item_pos, doc_pos, size, ahead, item_values, doc_values).
+    """How many windows of the item a chain of diagonals matches, from (item_pos, doc_pos, size, ahead, item_roles, doc_values).
 
     Diagonals that are consistent by themselves are taken by their number of windows; of each one those windows are
     added that are in order with what is there, if their slots are consistent with it. A window of the
@@ -232,17 +240,17 @@ def chained(points: list[tuple[int, int, int, int, list[int], list[int]]]) -> in
     for p in points:
         lines.setdefault(p[1] - p[0], {})[p[0]] = p
 
-    def slots(these: list[tuple], known: dict[int, int]) -> dict[int, int] | None:
+    def slots(these: list[tuple], known: dict[tuple[int, int], int]) -> dict[tuple[int, int], int] | None:
         known = dict(known)
         for p in these:
             for a, b in zip(p[4], p[5], strict=True):
-                if known.setdefault(a, b) != b:
+                if known.setdefault((0, a), b) != b or not a & 1 and known.setdefault((1, b), a) != a:
                     return None
         return known
 
     at: list[int] = []
     chain: dict[int, tuple] = {}
-    known: dict[int, int] = {}
+    known: dict[tuple[int, int], int] = {}
     for line in sorted(lines.values(), key=lambda x: (-len(x), min(x))):
         if slots(list(line.values()), {}) is None:
             continue
@@ -279,7 +287,7 @@ def chains(met: DataFrame) -> DataFrame:
     some = l.join(r, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on], "left_semi")
 
     def best(rows: pa.Table) -> pa.Table:
-        names = ("item_pos", "doc_pos", "size", "ahead", "item_values", "doc_values")
+        names = ("item_pos", "doc_pos", "size", "ahead", "item_roles", "doc_values")
         n, total = chained(list(zip(*[rows.column(c).to_pylist() for c in names], strict=True))), max(rows.column("total").to_pylist())
         out = rows.slice(0, 1 if n >= COVER * total else 0).select(["doc_id", "tag", "item_id"])
         full = [pa.array([v] * len(out), pa.int64()) for v in (n, total)]
@@ -295,17 +303,19 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = items.agg(F.approx_count_distinct("hash").alias("n"), F.collect_set(F.struct("kind", "size")).alias("sizes")).first()
     bits = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * int(known["n"] or 1)).bit_length()))
     bloom = spark.sparkContext.broadcast(make_bloom(items, bits))
-    found = window_rows(docs, "doc_id", tuple(sorted(tuple(x) for x in known["sizes"] or ())), bloom, bits).drop("total", "ahead")
+    found = window_rows(docs, "doc_id", tuple(sorted(tuple(x) for x in known["sizes"] or ())), bloom, bits).drop("roles", "total", "ahead")
     found = stage_table(found, "doc-windows").withColumnsRenamed({"key": "doc_id", "pos": "doc_pos", "values": "doc_values"})
     items = items.select(
-        F.col("key").alias("item_id"), F.col("tag").alias("item_tag"), "kind", "size", "hash", F.col("pos").alias("item_pos"), F.col("values").alias("item_values"), "total", "ahead"
+        F.col("key").alias("item_id"), F.col("tag").alias("item_tag"), "kind", "size", "hash", F.col("pos").alias("item_pos"), F.col("roles").alias("item_roles"), "total", "ahead"
     )
     met = found.join(items, ["hash", "kind", "size"]).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
     on = ("doc_id", "tag", "item_id", "item_tag", "kind", "diagonal")
-    met = stage_table(met.select(*on, "size", "item_pos", "doc_pos", "total", "ahead", "item_values", "doc_values"), "aligned")
-    # an item value that stands for two document values on one diagonal breaks it
-    slots = met.select(*on, F.explode(F.array_distinct(F.arrays_zip(F.col("item_values").alias("a"), F.col("doc_values").alias("b")))).alias("z"))
-    broken = slots.groupBy(*on, F.col("z.a").alias("a")).agg(F.min("z.b").alias("lo"), F.max("z.b").alias("hi")).where("lo <> hi").select(*on).distinct()
+    met = stage_table(met.select(*on, "size", "item_pos", "doc_pos", "total", "ahead", "item_roles", "doc_values"), "aligned")
+    # a role that stands for two values on one diagonal breaks it, and so does a value that two names stand for
+    slots = met.select(*on, F.explode(F.array_distinct(F.arrays_zip(F.col("item_roles").alias("a"), F.col("doc_values").alias("b")))).alias("z")).select(*on, "z.*")
+    ways = F.array(F.struct(F.lit(0).alias("way"), F.col("a").alias("x"), F.col("b").alias("y")), F.when(F.col("a") % 2 == 0, F.struct(F.lit(1).alias("way"), F.col("b").alias("x"), F.col("a").alias("y"))))
+    slots = slots.select(*on, F.explode(F.array_compact(ways)).alias("s")).select(*on, "s.*")
+    broken = slots.groupBy(*on, "way", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo <> hi").select(*on).distinct()
     whole = met.groupBy(*on).agg(F.count_distinct("item_pos").alias("matched"), F.max("total").alias("item_windows"))
     # plain words are for copies of whole items
     whole = whole.where(F.col("matched") >= F.when(F.col("kind") == PLAIN, 1.0).otherwise(COVER) * F.col("item_windows"))

@@ -80,3 +80,72 @@ def test_whole_copies_in_any_case(spark):
     rows += [(45, items[5][1].upper()), (46, "What is 13 times 30"), (47, text.upper().rsplit(" ", 1)[0]), (48, "quuxes frobnicate"), (49, text.title())]
     got = {(r.doc_id, r.item_id) for r in D.contaminated(docs(spark, rows), bench(spark, items)).collect()}
     assert got == {(40, 10), (41, 11), (42, 12), (43, 13), (44, 14), (45, 15), (49, 10)}
+
+
+def test_a_number_with_two_roles_and_names_that_fall_together(spark):
+    story = "Yesterday {a} bought {x} apples for {y} dollars from a farmer while {b} only looked at them and then {a} walked home with {b} along the old road"
+    items = [(1, story.format(a="Alice", b="Robert", x=3, y=3))]
+    rows = [(1, story.format(a="Maria", b="Peter", x=5, y=7)), (2, story.format(a="Maria", b="Maria", x=5, y=7)), (3, story.format(a="Robert", b="Alice", x=3, y=3))]
+    got = {r.doc_id for r in D.contaminated(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == {1, 3}
+
+
+def brute(texts, items):
+    """Pairs that one diagonal or a chain of them makes up, each item's windows compared with each text's one by one."""
+    found = set()
+    for wide in (False, True):
+        def read(text, wide=wide):
+            t, value, typed, _ = D.template(pa.array([text]), wide)
+            return t.tolist(), value, typed, D.roles(t, value)
+
+        def places(t, typed):
+            return [p for p in range(len(t) - D.SIZE + 1) if D.SIZE - sum(typed[p : p + D.SIZE]) >= D.LEAST_LITERALS]
+
+        for item_id, item in items:
+            it, _, ityped, role = read(item)
+            own = places(it, ityped)
+            for doc_id, text in texts:
+                t, value, typed, _ = read(text)
+                points = []
+                for p in own:
+                    ahead = sum(1 << (i - 1) for i in range(1, D.SIZE) if p + i in own)
+                    for q in places(t, typed):
+                        if it[p : p + D.SIZE] == t[q : q + D.SIZE]:
+                            slot = [j for j in range(D.SIZE) if ityped[p + j]]
+                            points.append((p, q, D.SIZE, ahead, [int(role[p + j]) for j in slot], [int(value[q + j]) for j in slot]))
+                lines = {}
+                for x in points:
+                    lines.setdefault(x[1] - x[0], []).append(x)
+                for line in lines.values():
+                    pairs = {(a, b) for x in line for a, b in zip(x[4], x[5], strict=True)}
+                    clash = len({a for a, _ in pairs}) < len(pairs) or len({b for a, b in pairs if a % 2 == 0}) < sum(a % 2 == 0 for a, _ in pairs)
+                    if not clash and len({x[0] for x in line}) >= D.COVER * len(own):
+                        found.add((doc_id, item_id))
+                if points and D.chained(points) >= D.COVER * len(own):
+                    found.add((doc_id, item_id))
+    return found
+
+
+def test_alignments_by_brute_force(spark):
+    rng = random.Random(31)
+    names, units = ["Alice", "Robert", "Boston", "New York", "Maria Ann"], ["km", "miles", "dollars", "kg"]
+
+    def fill(shape, stable):
+        bind = {}
+        pick = lambda key, xs: bind.setdefault(key, rng.choice(xs)) if stable else rng.choice(xs)
+        return " ".join(pick(w, names) if w[0] == "N" else pick(w, [str(n) for n in range(2, 60)]) if w[0] == "V" else pick(w, units) if w[0] == "U" else w for w in shape)
+
+    shapes = []
+    for _ in range(12):
+        shape = words(rng, rng.randint(24, 40))
+        for k in range(rng.randint(2, 6)):
+            shape.insert(rng.randint(1, len(shape)), rng.choice([f"N{k % 3}", f"V{k % 2}"]))
+        shapes.append(shape)
+    items = [(k, fill(s, True)) for k, s in enumerate(shapes)]
+    rows = []
+    for k in range(60):
+        shape = list(rng.choice(shapes))
+        cut = rng.choice([0, 0, 5, len(shape) // 2, len(shape) - 9])
+        rows.append((k, " ".join([*words(rng, rng.randint(0, 9)), fill(shape[cut:], rng.random() < 0.6), *words(rng, rng.randint(0, 9))])))
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == brute(rows, items) and len(got) > 15
