@@ -1,35 +1,41 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained here in numpy, on labelled spans that a seeded generator
-writes. It reads overlapping windows around every digit and `@`; each window is
-decoded by Viterbi, and the spans of all windows of a text are reconciled by
-weighted interval scheduling. Every kind of span holds a digit or an `@`, so windows
-without one hold none: the constraint that a span has one makes skipping them exact.
+writes. It reads overlapping windows around every digit, `@` and written-out `(at)`; each
+character's emissions come from the window in whose middle it lies, and one Viterbi path is
+decoded over all windows that touch, so that spans of any length are found whole. A span
+holds one of those signs and no line feed, so windows without one hold none:
+the constraint makes skipping them exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillstream.llm.kernels import buffer_of, slices, tidy
 from quillstream.llm.shared import project
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, MARGIN = 96, 48, 6
-HIDDEN = 12
+WINDOW, STRIDE = 128, 64
+HIDDEN = 16
 #: Size of the training set and of training.
-EXAMPLES, EPOCHS, BATCH, RATE = 1536, 14, 64, 0.02
+EXAMPLES, EPOCHS, BATCH, RATE = 2048, 12, 64, 0.025
+#: Windows that are read together, and characters that are decoded together.
+READ, DECODED = 1024, 1 << 17
 #: Least log-odds of a span's labels against none, transitions included.
 LEAST_MARGIN = 3.0
+#: Fixed value: characters of an address, at most.
+LONGEST_EMAIL = 320
 
 # ---- fixed patterns -------------------------------------------------------------
 
@@ -86,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- network --------------------------------------------------------------------
 
 #: Character classes: each of these signs is one, then lower, upper, digit, other letters, other blanks, the rest.
-SIGNS = "@.-+() _%:/=\",\n<>#"
+SIGNS = "@.-+() _%:/=\",\n<>#[]"
 N_CLASSES = len(SIGNS) + 6
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 
@@ -236,8 +242,12 @@ class Tagger:
         return history
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags (text, time), and what each tag of that path scores more than the tag for none would."""
-        e, a = self.emissions(ids), self.moves()
+        """Viterbi tags (text, time) of windows, and what each tag of that path scores more than the tag for none would."""
+        return self.path(self.emissions(ids))
+
+    def path(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As decode, from emissions (text, time, tag)."""
+        a = self.moves()
         n, t_max, _ = e.shape
         back = np.empty((n, t_max, TAGS), np.int8)
         best = e[:, 0] + np.where(allowed()[0], 0, -1e4).astype(np.float32)
@@ -245,12 +255,12 @@ class Tagger:
             score = best[:, :, None] + a
             back[:, t] = score.argmax(axis=1)
             best = e[:, t] + score.max(axis=1)
-        tags = np.empty((n, t_max), np.int64)
+        tags = np.empty((n, t_max), np.int8)
         tags[:, -1] = best.argmax(axis=1)
         for t in range(t_max - 1, 0, -1):
             tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
         row, col = np.arange(n)[:, None], np.arange(t_max)[None, :]
-        gain = e[row, col, tags] - e[:, :, 0]
+        gain = e[row, col, tags].astype(np.float32) - e[:, :, 0]
         gain[:, 1:] += a[tags[:, :-1], tags[:, 1:]] - a[0, 0]
         return tags, gain
 
@@ -266,41 +276,60 @@ def training_windows(n: int = EXAMPLES, seed: int = 11) -> tuple[np.ndarray, np.
     number = lambda k: "".join(pick("0123456789") for _ in range(k))
     octet = lambda: str(int(rng.integers(0, 256)))
 
+    letter = lambda: pick("abcdefghijklmnopqrstuvwxyz" if rng.random() < 0.8 else "äöüéèçñøåæšžіжд漢字")
+    name = lambda lo=2, hi=12: "".join(letter() for _ in range(int(rng.integers(lo, hi))))
+
     def email() -> str:
-        local = pick([word, lambda: word() + pick("._-") + word(), lambda: word() + "." + number(2), lambda: word() + number(2), lambda: word() + "+" + word()])()
-        return local + "@" + pick([lambda: word() + number(1), word, lambda: word() + "-" + word()])() + "." + pick(["com", "org", "net", "example.com", "co.uk", "de", "example.org"])
+        part = pick([word, name])
+        local = pick([".", ".", "-", "_", "+"]).join(part(2, 14) for _ in range(int(rng.integers(1, 5)))) + pick(["", "", number(2), "." + number(2)])
+        host = pick([word() + number(1), word(), word() + "-" + word(), part(), ".".join(part(2, 14) for _ in range(int(rng.integers(2, 5))))])
+        top = pick(["com", "org", "net", "de", "fr", "io", "info", "example.com", "co.uk", "example.org"])
+        at, dot = pick([("@", "."), ("@", "."), ("@", "."), ("@", "."), ("(at)", "."), ("[at]", "."), (" (at) ", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)")])
+        return local + at + host + dot + top
+
+    def ip() -> str:
+        group = lambda: format(int(rng.integers(0, 65536)), "x")
+        return pick([
+            lambda: ".".join(octet() for _ in range(4)), lambda: ".".join(octet() for _ in range(4)), lambda: ":".join(group() for _ in range(8)),
+            lambda: ":".join(group() for _ in range(int(rng.integers(2, 5)))) + "::" + group(), lambda: "fe80::" + ":".join(group() for _ in range(4)), lambda: "2001:db8::" + group(),
+        ])()
 
     def card() -> str:
         body = number(int(rng.integers(14, 16)))
-        check = next(c for c in "0123456789" if luhn(body + c))
-        digits = body + check
-        return pick([digits, digits, " ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), "-".join(digits[i : i + 4] for i in range(0, len(digits), 4))])
+        digits = body + next(c for c in "0123456789" if luhn(body + c))
+        sep = pick(["", "", " ", "-", ".", "/", " - "])
+        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
     def phone() -> str:
+        sep = pick([" ", "-", ".", "/"])
         return pick([
-            lambda: f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}", lambda: f"+{number(2)} {number(3)} {number(3)} {number(4)}",
-            lambda: f"+{number(2)}-{number(3)}-{number(7)}", lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}", lambda: f"+{number(11)}",
+            lambda: f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}", lambda: f"+{number(2)} {number(3)} {number(3)} {number(4)}", lambda: f"+{number(11)}",
+            lambda: f"+{number(2)}-{number(3)}-{number(7)}", lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"({number(3)}) {number(3)}-{number(4)}",
+            lambda: f"{number(3)}{sep}{number(3)}{sep}{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}", lambda: f"0{number(2)}{pick(' -/')}{number(7)}",
+            lambda: f"0{number(3)}{sep}{number(3)}{sep}{number(4)}", lambda: f"00{number(2)} {number(3)} {number(7)}",
         ])()
 
-    positive = [email, lambda: ".".join(octet() for _ in range(4)), card, phone]
+    positive = [email, ip, card, phone]
     negative = [
-        lambda: number(int(rng.integers(1, 8))), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(1)}.{number(2)}", lambda: f"{number(2)}:{number(2)}",
-        lambda: f"v{number(1)}.{number(1)}.{number(2)}", lambda: "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)),
+        lambda: number(int(rng.integers(1, 8))), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(2)}.{number(2)}.{number(4)}", lambda: f"{number(2)}/{number(2)}/{number(4)}",
+        lambda: f"{number(1)}.{number(2)}", lambda: f"{number(2)}:{number(2)}", lambda: f"{number(2)}:{number(2)}:{number(2)}", lambda: ":".join(number(1) + pick("abcdef") for _ in range(6)),
+        lambda: f"v{number(1)}.{number(1)}.{number(2)}", lambda: "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), lambda: f"978-{number(1)}-{number(2)}-{number(6)}-{number(1)}",
         lambda: word() + "=" + "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(10, 20)))), lambda: '"' + "".join(pick("0123456789abcdef") for _ in range(36)) + '"',
         lambda: "@" + word(), lambda: word() + "@" + word(), lambda: f"{number(1)},{number(3)}", lambda: f"{number(4)}.{number(4)}", lambda: f"/{word()}/{number(5)}", lambda: f"{number(3)}-{number(2)}",
+        lambda: f"{number(2)}-{number(5)}-{number(3)}", lambda: word() + "." + word() + "." + pick(["com", "org"]), lambda: f"({number(2)})", lambda: f"({word()})", lambda: f"[{number(2)}]", lambda: f"{number(3)},{number(3)},{number(3)}",
     ]
     ids, tags = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
     for k in range(n):
         text, mark = "", []
-        while len(text) < WINDOW + 60:
+        while len(text) < WINDOW + 100:
             roll = rng.random()
-            if roll < 0.11:
+            if roll < 0.12:
                 kind = int(rng.integers(len(KINDS)))
                 piece = positive[kind]()
                 mark += [1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1)
             else:
-                piece = pick(negative)() if roll < 0.26 else word(1, 12)
-                piece = piece.capitalize() if roll > 0.9 else piece
+                piece = pick(negative)() if roll < 0.28 else word(1, 12) if roll < 0.9 else name(1, 12)
+                piece = piece.capitalize() if 0.8 < roll < 0.95 else piece
                 mark += [0] * len(piece)
             sep = pick([" ", " ", " ", " ", ", ", ". ", "\n", ".\n", ": "])
             text, mark = text + piece + sep, mark + [0] * len(sep)
@@ -322,121 +351,129 @@ def trained() -> Tagger:
 
 # ---- windows and their reconciliation ---------------------------------------------
 
-_SEEN = re.compile("[0-9@]")
-
-
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows, every STRIDE characters, that hold a digit or an `@`."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE)) * STRIDE
-    out: set[int] = set()
-    for m in _SEEN.finditer(text):
-        k = m.start() // STRIDE * STRIDE
-        for s in (k, k - STRIDE):
-            if s >= 0 and s <= m.start() < s + WINDOW:
-                out.add(min(s, last))
-    return sorted(out)
+_AT = r"[(\[{] ?at ?[)\]}]"
+_WORD = re.compile(r"(?<![^\s@])[^\s@]*+(?:@[^\s@]*+)+|[0-9]+")
+_WRITTEN = re.compile(_AT, re.IGNORECASE)
+_RIGHT = re.compile(r" ?[^\s([{]*")
+_MARK = re.compile(rf"[0-9@]|{_AT}", re.IGNORECASE)
+_EMAIL = re.compile(rf"(?:\S+@|\S+ ?{_AT} ?)\S+?(?:\.|[(\[{{] ?dot ?[)\]}}] ?)[^\s@]+", re.IGNORECASE)
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """(first, last) numbers of windows that follow each other, window k starting at k * STRIDE: those around all
+    digits, and around the whole words that an `@` or `(at)` stands in."""
+    marks = [m.span() for m in _WORD.finditer(text)]
+    floor = 0
+    for m in _WRITTEN.finditer(text):
+        before = text[floor : m.start()].rstrip(" ")
+        start = floor + max(before.rfind(c) for c in " \t\n") + 1
+        end = _RIGHT.match(text, m.end()).end()
+        marks.append((start, end))
+        floor = m.end()
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(marks):
+        first, last = max(0, start // STRIDE - 1), max(end - 1, 0) // STRIDE
+        if last and last * STRIDE + STRIDE >= len(text):
+            last -= 1  # the window before reaches the end
+        if out and first <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], last)
+        else:
+            out.append((first, max(first, last)))
+    return out
 
 
 def plausible(kind: int, piece: str) -> bool:
     """What a span of its kind always has; the network's spans are checked against it."""
     digits = digits_of(piece)
     if kind == 0:
-        local, _, domain = piece.partition("@")
-        return bool(local) and "." in domain.strip(".") and not re.search(r"\s", piece)
+        return len(piece) <= LONGEST_EMAIL and _EMAIL.fullmatch(piece) is not None
     if kind == 1:
-        parts = piece.split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and small(p) for p in parts)
+        try:
+            ipaddress.ip_address(piece)
+        except ValueError:
+            return False
+        return True
     if kind == 2:
-        return 12 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9 .-]+", piece) is not None
-    return 10 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9 ().-]+", piece) is not None and re.search(r"[ ().-]", piece) is not None
+        return 12 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9 ./-]+", piece) is not None
+    return 9 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9 ()./-]+", piece) is not None and re.search(r"[ ()./+-]", piece) is not None
 
 
-def decoded_spans(text: str, starts: list[int], tags: np.ndarray, gain: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(start, end, kind, score) that windows agree on: of spans that overlap those of the largest total score stay."""
-    return scheduled(candidates(text, starts, tags, gain))
+def tagged_spans(text: str, at: int, tags: np.ndarray, gain: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, end) of the spans of a path that begins at `at`."""
+    edge = np.flatnonzero(tags[1:] != tags[:-1]) + 1
+    begins = [t for t in [0, *edge.tolist()] if tags[t] % 2] if len(tags) else []
+    # a begin right after another of its kind is an edge of its own
+    begins = sorted({*begins, *np.flatnonzero(tags % 2).tolist()})
+    for t in begins:
+        tag, end = int(tags[t]), t + 1
+        while end < len(tags) and tags[end] == tag + 1:
+            end += 1
+        if plausible(kind := (tag - 1) // 2, text[at + t : at + end]) and float(gain[t : end + 1].sum()) >= LEAST_MARGIN:  # with the step back to none
+            yield at + t, kind, at + end
 
 
-def candidates(text: str, starts: list[int], tags: np.ndarray, gain: np.ndarray) -> dict[tuple[int, int, int], float]:
-    """Scores of (start, end, kind); a span that touches the inner edge of a window is left to the neighbour."""
-    found: dict[tuple[int, int, int], float] = {}
-    for k, at in enumerate(starts):
-        size = min(WINDOW, len(text) - at)
-        t = 0
-        while t < size:
-            tag = int(tags[k, t])
-            if tag == 0:
-                t += 1
+def network_spans(tagger: Tagger, texts: list[str], most: int = READ) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of what the network finds in each text.
+
+    Held are the emissions of a region's characters, in half precision, and a batch of windows.
+    """
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    lines: list[tuple[int, int, np.ndarray]] = []  # text, place, emissions
+
+    def flush() -> None:
+        lines.sort(key=lambda x: len(x[2]))
+        at = 0
+        while at < len(lines):
+            to = at + 1
+            while to < len(lines) and (to - at + 1) * len(lines[to][2]) <= DECODED:
+                to += 1
+            e = np.full((to - at, len(lines[to - 1][2]), TAGS), -1e4, np.float32 if to > at + 1 else np.float16)
+            e[:, :, 0] = 0
+            for k, (_, _, x) in enumerate(lines[at:to]):
+                e[k, : len(x)] = x
+            tags, gain = tagger.path(e)
+            for k, (i, place, x) in enumerate(lines[at:to]):
+                found[i] += tagged_spans(texts[i], place, tags[k, : len(x)], gain[k, : len(x) + 1])
+            at = to
+        lines.clear()
+
+    ids = np.full((most, WINDOW), N_CLASSES - 2, np.int64)
+    jobs: list[tuple[int, int, int, int]] = []  # text, window, first and last of its region
+    parts: list[np.ndarray] = []
+
+    def read() -> None:
+        """Emissions of the windows at hand; the middle of each goes to its region, and regions that end are cut into lines."""
+        e = tagger.emissions(ids[: len(jobs)]).astype(np.float16)
+        for row, (i, k, first, last) in enumerate(jobs):
+            text = texts[i]
+            lo = 0 if k == first else STRIDE // 2
+            hi = min(WINDOW, len(text) - k * STRIDE) if k == last else STRIDE // 2 + STRIDE
+            parts.append(e[row, lo:hi].copy())
+            if k < last:
                 continue
-            end = t + 1
-            while end < size and tags[k, end] == tag + tag % 2:
-                end += 1
-            left, right = at + t, at + end
-            whole = (t >= MARGIN or at == 0) and (end <= size - MARGIN or right == len(text))
-            if whole and plausible(kind := (tag - 1) // 2, text[left:right]):
-                score = float(gain[k, t : min(end + 1, WINDOW)].sum())  # with the step back to none
-                if score >= LEAST_MARGIN:
-                    key = (left, right, kind)
-                    found[key] = max(found.get(key, 0.0), score)
-            t = end
-    return found
-
-
-def scheduled(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int, int, float]]:
-    """Those of the largest total score that do not overlap."""
-    spans = sorted(((s, e, k, v) for (s, e, k), v in found.items()), key=lambda x: x[1])
-    ends = [s[1] for s in spans]
-    best, before, taken = [0.0], [], []
-    for i, (s, _, _, v) in enumerate(spans):
-        j = min(bisect_right(ends, s), i)
-        take = best[j] + v
-        before.append(j)
-        taken.append(take > best[i])
-        best.append(max(best[i], take))
-    out, i = [], len(spans)
-    while i:
-        if taken[i - 1]:
-            out.append(spans[i - 1])
-            i = before[i - 1]
-        else:
-            i -= 1
-    return out[::-1]
-
-
-def network_spans(tagger: Tagger, texts: list[str], most: int = 4096) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of what the network finds in each text."""
-    out: list[list[tuple[int, int, int]]] = []
-    for text in texts:
-        starts = window_starts(text)
-        out.append([])
-        for lo in range(0, len(starts), most):
-            # neighbours in the list overlap, so blocks of windows share one window with the next
-            part = starts[max(0, lo - 1) : lo + most]
-            out[-1].append((text, part))
-    jobs = [(i, text, part) for i, blocks in enumerate(out) for text, part in blocks]
-    found: list[dict[tuple[int, int, int], float]] = [{} for _ in texts]
-    at = 0
-    while at < len(jobs):
-        size, to = 0, at
-        while to < len(jobs) and (to == at or size + len(jobs[to][2]) <= most):
-            size += len(jobs[to][2])
-            to += 1
-        ids = np.full((size, WINDOW), N_CLASSES - 2, np.int64)
-        row = 0
-        for _, text, part in jobs[at:to]:
-            for s in part:
-                c = classes_of(text[s : s + WINDOW])
-                ids[row, : len(c)] = c
-                row += 1
-        tags, gain = tagger.decode(ids)
-        row = 0
-        for i, text, part in jobs[at:to]:
-            n = len(part)
-            for key, score in candidates(text, part, tags[row : row + n], gain[row : row + n]).items():
-                found[i][key] = max(found[i].get(key, 0.0), score)
-            row += n
-        at = to
-    # blocks of one text meet here, so that overlaps are resolved over the whole of it
-    return [sorted((s, k, e) for s, e, k, _ in scheduled(f)) for f in found]
+            whole = np.concatenate(parts)
+            parts.clear()
+            start, end = first * STRIDE, first * STRIDE + len(whole)
+            for m in re.finditer(r"[^\n]+", text[start:end]):
+                if _MARK.search(m.group()):
+                    lines.append((i, start + m.start(), whole[m.start() : m.end()]))
+        jobs.clear()
+        if sum(len(x) for _, _, x in lines) > DECODED:
+            flush()
+
+    for i, text in enumerate(texts):
+        for first, last in regions(text):
+            for k in range(first, last + 1):
+                c = classes_of(text[k * STRIDE : k * STRIDE + WINDOW])
+                ids[len(jobs), : len(c)] = c
+                ids[len(jobs), len(c) :] = N_CLASSES - 2
+                jobs.append((i, k, first, last))
+                if len(jobs) == most:
+                    read()
+    if jobs:
+        read()
+    flush()
+    return [sorted(x) for x in found]
 
 
 def all_spans(base: list[tuple[int, int, int]], added: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -479,8 +516,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
             for at, part in slices(batch.column("text")):
                 buf, offs = buffer_of(part)
                 marked = np.flatnonzero(_MARKED[buf])
-                some = np.flatnonzero(np.diff(np.searchsorted(marked, offs)))
                 n = len(part)
+                written_out = pc.match_substring_regex(part, _AT, ignore_case=True).to_numpy(zero_copy_only=False)
+                some = np.flatnonzero((np.diff(np.searchsorted(marked, offs)) > 0) | written_out)
                 counts = np.zeros((len(KINDS), n), np.int64)
                 sha, spans = [nothing] * n, [""] * n
                 texts = part.take(pa.array(some)).to_pylist()
