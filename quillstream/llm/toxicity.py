@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.kernels import WORD, buffer_of, hash_spans, slices, spans, tidy
-from quillstream.llm.shared import project, stage_table
+from quillstream.llm.shared import found, project, stage_table
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -213,9 +213,10 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Factorizat
     return FactorizationMachine(place, float(bias), w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: int = MOST_TERMS) -> FactorizationMachine:
     """Fit on labelled documents that are not held out: `sample` of each label at most,
-    those whose hashed doc_id is least. Only hashed terms reach the driver."""
+    those whose hashed doc_id is least, and of these the ones with `most_terms` distinct terms at most, so that
+    2 * sample * most_terms terms bound the sample; it is all that is fitted on, whatever the table's size. Only hashed terms reach the driver."""
     known = project(labels, doc_id="bigint", toxic="int").where("doc_id is not null and toxic is not null")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     known = known.where(fold != 0).select("doc_id", (F.col("toxic") > 0).cast("int").alias("label")).distinct()
@@ -232,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
             for start, part in slices(batch.column("text")):
                 flat, at = terms(part)
                 sets = [np.unique(flat[a:b]).astype(np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
-                short = pa.array([len(s) <= MOST_TERMS for s in sets])
+                short = pa.array([len(s) <= most_terms for s in sets])
                 columns = [batch.column(c).slice(start, len(part)) for c in ("doc_id", "label")]
                 body = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, body], ["doc_id", "label", "terms"]).filter(short)
@@ -250,7 +251,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     learned from. A score comes from the text alone; a null or empty text has no terms
     and gets the score of the bias. predicted is 1 from a score of 0.5. Texts are read whole, in slices
     of bounded size. A null doc_id is not held out and has no label. Repeated rows score
-    alike, an empty table gives no rows, and without labels of both kinds every score is the same.
+    alike, an empty table gives no rows, and without labels of both kinds every score is the same. What is learned from
+    is a bounded sample, as train says.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))  # bounded by BITS
 
@@ -269,15 +271,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose score is under 0.5, with all their columns."""
+    """The documents whose score is under 0.5, with all their columns; a table without texts is one of empty texts.
+
+    Nulls, repeated rows and an empty table are treated as by toxicity_scores.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     names = docs.columns
-    at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    plain = plain.withColumn("__text", found(names, "text").cast("string"))
+    schema = plain.drop("__text").schema
+    columns = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, part in slices(batch.column(at)):
-                yield batch.slice(start, len(part)).filter(pa.array(model.value.score(part) < 0.5))
+            for start, part in slices(batch.column("__text")):
+                stay = pa.array(model.value.score(part) < 0.5)
+                yield batch.slice(start, len(part)).select(columns).filter(stay)
 
-    return plain.mapInArrow(tidy(run), plain.schema).toDF(*names)
+    return plain.mapInArrow(tidy(run), schema).toDF(*names)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from quillstream.llm import toxicity as T
 from tests.llm.helpers import awkward, docs, words
@@ -18,18 +19,8 @@ def test_pairs_that_no_linear_weights_can_tell():
     y = (x[:, 0] == x[:, 1]).astype(int)
     sets = [np.unique(np.concatenate([np.flatnonzero(r) * 7 + 5, [99]])).astype(np.int32) for r in x]
     model = T.fit(sets, y)
-    place = model.place
-    assert (place[[5, 12]] > 0).sum() in (0, 1, 2)
-    both = np.unique(np.concatenate([s for s in sets]))
-    assert set(both) == {5, 12, 99}
-    # terms that tell little alone are not selected; with them selected the pair is learned
-    old = T.LEAST_GAIN
-    T.LEAST_GAIN = -1.0
-    try:
-        model = T.fit(sets, y)
-    finally:
-        T.LEAST_GAIN = old
-    rows = [model.place[s] for s in sets]
+    assert set(np.flatnonzero(model.place)) == {5, 12}
+    rows = [r[r > 0] for r in (model.place[s] for s in sets)]
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     z = model.logits(np.concatenate(rows), owner, len(rows))
     assert ((z > 0) == (y == 1)).mean() > 0.99
@@ -74,3 +65,22 @@ def test_terms_that_tell_only_in_pairs_are_learned_with_the_settings_as_they_are
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     z = model.logits(np.concatenate(rows), owner, len(rows))
     assert ((z > 0) == (y == 1)).mean() > 0.99
+
+
+def test_scores_by_adding_up_every_pair():
+    """The score is the logistic of the bias, the weights and the product of each pair's factors."""
+    rng = np.random.default_rng(4)
+    place = rng.integers(0, 40, 1 << T.BITS).astype(np.int32)
+    model = T.FactorizationMachine(place, -0.3, np.append(0, rng.normal(0, 0.3, 39)), np.concatenate([np.zeros((1, 4)), rng.normal(0, 0.2, (39, 4))]))
+    texts = [" ".join(words(random.Random(k), k)) for k in (0, 1, 2, 7, 60)] + ["", "Élan ÉLAN élan", "a" * 5000]
+    got = model.score(pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        flat, _ = T.terms(pa.array([text]))
+        rows = sorted({int(place[t]) for t in flat} - {0})
+        z = model.bias + sum(model.weight[i] for i in rows) + sum(float(model.factor[i] @ model.factor[j]) for i in rows for j in rows if i < j)
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_a_table_without_texts(spark):
+    table = spark.createDataFrame([(1, "x")], "doc_id bigint, other string")
+    assert T.drop_toxic(table, labelled(spark, [])).collect() == table.collect()
