@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENGINES = ("matcha", "kokoro", "vits", "kitten")
+#: Files of rules, in the order in which they apply.
+RULES = ("phone.fst", "date.fst", "number.fst")
 MANIFEST = "engine string, files map<string,string>"
 
 
@@ -28,13 +30,17 @@ def inspect(files: DataFrame) -> DataFrame:
     return files.groupBy("model_dir").agg(
         F.sort_array(F.collect_set(F.when(onnx, name))).alias("onnx_files"),
         least(vocoder).alias("vocoder"),
-        least(onnx & ~vocoder).alias("acoustic"),
         F.max(name == "tokens.txt").alias("has_tokens"),
         F.max(name == "voices.bin").alias("has_voices"),
         F.max(F.when(F.col("is_dir") & (name == "espeak-ng-data"), name)).alias("data_dir"),
         least(F.lower(name).rlike("^lexicon.*\\.txt\\z")).alias("lexicon"),
-        F.array_sort(F.collect_set(F.when(name.isin("phone.fst", "date.fst", "number.fst"), name))).alias("rule_fsts"),
-    )
+        F.array_intersect(F.array(*map(F.lit, RULES)), F.collect_set(F.when(name.isin(*RULES), name))).alias("rule_fsts"),
+    ).withColumn("acoustic", F.coalesce(F.get(F.filter("onnx_files", lambda f: f != F.col("vocoder")), F.lit(0)), F.get("onnx_files", F.lit(0))))
+
+
+def within(model_dir: Column, name: Column) -> Column:
+    """The path of a file of the folder."""
+    return F.concat(model_dir, F.when(name.startswith("/"), "").otherwise("/"), name)
 
 
 def resolve(files: DataFrame, manifests: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
@@ -42,7 +48,8 @@ def resolve(files: DataFrame, manifests: DataFrame | None = None, overrides: Dat
 
     An override comes before the manifest's engine, and that before detection; a folder
     that kokoro and kitten could both read is an error, as is one that nothing fits or an
-    engine nobody knows. Files of a manifest replace those that are found.
+    engine nobody knows. Files of a manifest replace those that are found. model_files and rule_fsts
+    are paths within the folder.
     """
     rows = inspect(files)
     if manifests is not None:
@@ -73,7 +80,7 @@ def resolve(files: DataFrame, manifests: DataFrame | None = None, overrides: Dat
     ok = status == "ok"
     return rows.select(
         "model_dir", F.when(ok, engine).alias("engine"), F.when(ok, by).alias("detected_by"), status.alias("status"), n.alias("n_onnx"),
-        F.when(ok, F.coalesce(F.col("m.files"), built)).alias("model_files"), F.array_join("rule_fsts", ",").alias("rule_fsts"),
+        F.when(ok, F.transform_values(F.coalesce(F.col("m.files"), built), lambda _, f: within(F.col("model_dir"), f))).alias("model_files"), F.array_join(F.transform("rule_fsts", lambda f: within(F.col("model_dir"), f)), ",").alias("rule_fsts"),
     )
 
 

@@ -242,7 +242,7 @@ def seek_page(spark, d):
 
 @query
 def seek_text(spark, d):
-    lines = X.text_lines(docs(spark, d)).where("pos % 7 = 2").select("doc_id", F.concat(F.lit("  "), F.lower("line")).alias("text"), F.lit(2).alias("hint_page")).distinct()
+    lines = X.text_lines(docs(spark, d)).select("doc_id", F.concat(F.lit("  "), F.lower("line")).alias("text"), F.lit(2).alias("hint_page")).distinct()
     return S.seek_text(line_cues(spark, d), lines)
 
 
@@ -289,6 +289,19 @@ def passage_links(spark, d):
     return line_cues(spark, d).select("doc_id", "cue_index", S.passage_link(base, F.col("page"), F.col("pdf_ref")).alias("link"))
 
 
+@query
+def project_items(spark, d):
+    """Words as raw items: some without text, width or a usable transform."""
+    rows = X.text_lines(docs(spark, d)).select("doc_id", "pos", F.posexplode(F.split("line", " ", -1)).alias("k", "word"))
+    n, k = F.length("word"), F.col("k")
+    side = F.when(n % 4 == 0, 0).otherwise(n).cast("double")
+    raw = rows.select(
+        "doc_id", F.col("pos").alias("page"), k.alias("item_index"), F.when(n % 5 != 0, F.col("word")).alias("str"), F.when(k % 3 != 0, 6.5 * n).alias("width"),
+        F.array(F.lit(-6.0), F.lit(0.0), F.when(k % 2 == 0, 3.0).otherwise(0.0), side, k * 10.0, F.col("pos") * 12.0).alias("transform"),
+    )
+    return X.project_items(raw)
+
+
 def grouped(spark, d) -> DataFrame:
     return L.group_lines(X.line_items(docs(spark, d)))
 

@@ -133,7 +133,7 @@ items as (
     50 + case when m = 4 then 20 else 0 end
       + coalesce(sum(6 * length(str) + 3 + case when m in (8, 9, 10) then 40 else 0 end) over (partition by doc_id, pos order by k rows between unbounded preceding and 1 preceding), 0) as x,
     coalesce(lag(k) over (partition by doc_id, pos order by k) is not null, false) as follows
-  from words where m not in (8, 9, 10) or k < 4),
+  from words),
 raw as (
   select doc_id, pos, m, (floor(pos / 50) + 1)::int as page, {trim("regexp_replace(string_agg(str, ' ' order by k), '\\s+', ' ', 'g')")} as text,
     (700 - 12 * (pos % 50) - case when m = 12 then 6 else 0 end)::double as y, (case when m = 3 then 14 else 10 end)::double as font_size, min(x)::double as x,
@@ -264,7 +264,7 @@ from halves h join (select doc_id, seq, page, type from seg) using (doc_id, seq)
 select p.doc_id, p.page, coalesce(min(case when c.page >= p.page then cue_index end), max(cue_index), -1) as cue_index
 from probe p left join cue c on c.doc_id = p.doc_id group by p.doc_id, p.page""",
     "seek_text": f"""{CUE},
-probe as (select distinct doc_id, '  ' || lower(line) as text, 2 as hint_page from lines where pos % 7 = 2),
+probe as (select distinct doc_id, '  ' || lower(line) as text, 2 as hint_page from lines),
 n as (select *, substr({normal('text')}, 1, 80) as needle from probe),
 s as (select *, {normal('text')} as hay from cue where kind = 'speech'),
 m as (
@@ -318,7 +318,7 @@ i as (
   select model_dir, count(*) filter (ends_with(file_name, '.onnx')) as n_onnx, min(file_name) filter (ends_with(file_name, '.onnx')) as first,
     bool_or(file_name = 'voices.bin') as voices, bool_or(file_name = 'tokens.txt') as tokens, bool_or(regexp_matches(file_name, '^lexicon.*\\.txt$')) as lexicon,
     bool_or(regexp_matches(file_name, '(vocoder|vocos).*\\.onnx$')) as vocoder,
-    coalesce(string_agg(file_name, ',' order by file_name) filter (file_name in ('phone.fst', 'date.fst', 'number.fst')), '') as rule_fsts
+    coalesce(string_agg(model_dir || '/' || file_name, ',' order by case file_name when 'phone.fst' then 1 when 'date.fst' then 2 else 3 end) filter (file_name in ('phone.fst', 'date.fst', 'number.fst')), '') as rule_fsts
   from files group by model_dir),
 g as (
   select *, case model_dir when 'f' then 'kitten' when 'h' then 'nobody' when 'g' then 'kokoro' end as override, case model_dir when 'e' then 'kitten' when 'g' then 'vits' end as told,
@@ -332,4 +332,115 @@ s as (
   select *, case when given is null and unclear then 'ambiguous: kokoro, kitten' when name is null then 'unrecognized' when name not in ('matcha', 'kokoro', 'vits', 'kitten') then 'unknown engine' else 'ok' end as status from r)
 select model_dir, case when status = 'ok' then name end as engine,
   case when status = 'ok' then case when override is not null then 'override' when told is not null then 'manifest' else 'heuristic' end end as detected_by,
-  status, n_onnx, case when status = 'ok' then coalesce(file, case when name <> 'matcha' then first end) end as model_file, rule_fsts from s"""
+  status, n_onnx, case when status = 'ok' then model_dir || '/' || coalesce(file, case when name <> 'matcha' then first end) end as model_file, rule_fsts from s"""
+
+
+def tok(value: str, tag: str = "null") -> str:
+    return f"{{'kind': 'text', 'value': {value}, 'ms': null::int, 'debug_tag': {tag}::varchar, 'reason': null::varchar}}"
+
+
+def silent(ms: int, reason: str) -> str:
+    return f"{{'kind': 'pause', 'value': null::varchar, 'ms': {ms}::int, 'debug_tag': null::varchar, 'reason': {q(reason)}}}"
+
+
+def cut_at(pattern: str, marker: str, whole: str) -> str:
+    """Text tokens split where a pattern matches, a marker at each such place; `whole` is what a token without a match becomes."""
+    parts = f"list_filter(flatten(list_transform(range(len(p)), lambda i: case when i = 0 then [{tok('p[1]')}] else [{marker}, {tok('p[i + 1]')}] end)), lambda x: x.kind = 'pause' or x.value <> '')"
+    return f"flatten(list_transform(tokens, lambda t: case when t.kind = 'text' then list_transform([regexp_split_to_array(t.value, {q(pattern)})], lambda p: case when len(p) = 1 then [{whole}] else {parts} end)[1] else [t] end))"
+
+
+def flow(source: str, whole: bool = True) -> str:
+    """CTEs from seg to final (doc_id, seq, sub, pos, type, page, kind, value, ms, debug_tag, reason), all rules in order; selections pass the rules that need no document."""
+    steps = [source]
+    if whole:
+        steps += [
+            f"t as (select *, case when length({trim('text')}) between 1 and 80 then {trim('text')} end as t from seg)",
+            "c as (select *, count(t) over (partition by doc_id, t) as n, count(distinct page) over (partition by doc_id) as pages from t)",
+            "f1 as (select doc_id, seq, type, page, text from c where t is null or n < greatest(3, ceil(pages * 0.1)))",
+            "f2 as (select *, type = 'table-row' and coalesce(lag(type) over (partition by doc_id order by seq) = 'table-row', false) as inner_row from f1)",
+            "f3 as (select doc_id, seq, type, page, case when type = 'table-row' then 'table omitted' else text end as text from f2 where not inner_row)",
+            f"f4 as (select * from f3 where {trim('text')} = '' or not ({BOILER}))",
+            f"f5 as (select doc_id, seq, type, page, [{tok('text')}] as tokens from f4 where not regexp_matches({trim('text')}, {q('(?i)' + CAPTION)}))",
+            f"f6 as (select * replace ({cut_at('(?i)' + INLINE, tok(q('figure omitted')), 't')} as tokens) from f5)",
+        ]
+    else:
+        steps.append(f"f6 as (select doc_id, seq, type, page, [{tok('text')}] as tokens from seg)")
+    joined = trim("list_aggregate(list_transform(list_filter(tokens, lambda t: t.kind = 'text'), lambda t: t.value), 'string_agg', '')")
+    number = r"^(\d+(?:\.\d+)*)\.?\s+(.*)$"
+    steps += [
+        f"f7 as (select * replace ({cut_at(chr(92) + '[[^' + chr(92) + '[' + chr(92) + ']]*' + chr(92) + ']', silent(0, 'bracket-square'), tok('t.value'))} as tokens) from f6)",
+        f"f8 as (select * replace ({cut_at('{[^{}]*}'.replace('{', chr(92) + '{').replace('}', chr(92) + '}'), silent(0, 'bracket-curly'), tok('t.value'))} as tokens) from f7)",
+        f"f9 as (select *, {joined} as plain from f8)",
+        f"""g1 as (select doc_id, seq, type, page, case when type = 'heading' and regexp_matches(plain, {q(number)})
+  then [{tok(f"'Section ' || regexp_extract(plain, {q(number)}, 1) || '.'")}, {silent(120, 'section-number')}, {tok(f"regexp_extract(plain, {q(number)}, 2)")}] else tokens end as tokens from f9)""",
+        "g2 as (select doc_id, seq, type, page, unnest(range(len(tokens))) as pos, unnest(tokens) as t from g1)",
+        "g3 as (select doc_id, seq, type, page, pos, t.kind as kind, t.value as value, t.ms as ms, t.reason as reason from g2)",
+    ]
+    tags, prev, table = [], "value", "g3"
+    for k, (match, spoken) in enumerate(SUBSTITUTIONS):
+        pattern = q(match.replace(".", "\\."))
+        tags.append(f"case when regexp_matches({prev}, {pattern}, 'i') then {q(f'{match}→{spoken}')} end")
+        steps.append(f"s{k} as (select *, regexp_replace({prev}, {pattern}, {q(spoken)}, 'gi') as x{k} from {table})")
+        prev, table = f"x{k}", f"s{k}"
+    steps.append(f"named as (select *, concat_ws(', ', {', '.join(tags)}) as names from {table})")
+    steps.append(f"texts as (select doc_id, seq, 0 as sub, pos::int as pos, type, page, kind, {prev} as value, ms, case when names <> '' then 'substituted: ' || names end as debug_tag, reason from named)")
+    if not whole:
+        return ", ".join([*steps, "final as (select * from texts)"])
+    steps += [
+        "nexts as (select doc_id, seq, type, page, lead(type) over (partition by doc_id order by seq) as nxt from g1)",
+        """whys as (
+  select *, case when type = 'list-item' and nxt = 'list-item' then 'between-list-items' when nxt = 'list-item' then 'before-list' when type = 'heading' then 'after-heading'
+    when nxt = 'heading' then 'before-heading' else 'paragraph-gap' end as reason from nexts where nxt is not null)""",
+        """final as (
+  select * from texts
+  union all
+  select doc_id, seq, 1, 0, 'pause-marker', page, 'pause', null, case reason when 'between-list-items' then 20 when 'before-list' then 25 when 'after-heading' then 80 when 'before-heading' then 120 else 100 end::int, null, reason from whys)""",
+    ]
+    return ", ".join(steps)
+
+
+def cued(source: str) -> str:
+    """The cues of final: its texts split and packed, its pauses as they are."""
+    key = "doc_id, seq, sub, pos"
+    pieces = PIECES.replace("doc_id, seq", key).replace("from seg)", "from spoken_in)")
+    return rf"""{source}, spoken_in as (select {key}, value as text from final where kind = 'text'), {pieces},
+packed as (select {key}, k, case when length(text) <= 280 then [text] else string_split({_PACK.format('text')}, chr(31)) end as p, ms, reason from kept),
+spoken as (select {key}, k, unnest(range(len(p))) as j, unnest(p) as text, len(p) as n, ms, reason from packed),
+halves as (
+  select {key}, k, j, 0 as half, 'speech' as kind, text, null::int as ms, null::varchar as reason from spoken
+  union all
+  select {key}, k, j, 1, 'silence', null, ms, reason from spoken where j = n - 1 and ms > 0
+  union all
+  select {key}, 0, 0, 1, 'silence', null, ms, reason from final where kind = 'pause' and ms > 0),
+numbered_cues as (
+  select h.*, f.page, f.type, f.debug_tag, row_number() over (partition by h.doc_id order by h.seq, h.sub, h.pos, k, j, half) - 1 as cue_index,
+    h.kind = 'speech' and sum((h.kind = 'speech')::int) over (partition by h.doc_id, h.seq, h.sub order by h.pos, k, j, half) = 1 as seg_start
+  from halves h join final f using ({key}))
+select doc_id, cue_index, kind, text, ms, page, type, seg_start, case when kind = 'speech' then debug_tag end as debug_tag, reason from numbered_cues"""
+
+
+_CITATION = SQL["citation_shape"].split("regexp_matches(content, ")[1].split(") as is_citation")[0]
+SQL["brackets_parens"] = rf"""{SPANS},
+sp as (select doc_id, seq, text, i, stop, coalesce(lag(stop) over (partition by doc_id, seq order by i), 0) as prior from paired where opens and coalesce(ok, false)),
+pc as (select *, substr(text, prior + 1, i - prior - 1) as head, substr(text, i, stop - i + 1) as span, substr(text, i + 1, stop - i - 1) as content from sp),
+cut as (select *, regexp_matches(content, {_CITATION}) or len(regexp_extract_all(content, '\S+')) >= 4 as goes from pc),
+made as (
+  select doc_id, seq, string_agg(head || case when goes then 'aside' else span end, '' order by i) as front, max(stop) as last, count(*) + count(*) filter (head <> '') as n from cut group by doc_id, seq)
+select doc_id, seq, type, page, case when n is null then text else front || substr(text, last + 1) end as text,
+  case when n is null then 1 else n + (substr(text, last + 1) <> '')::int end::bigint as n_tokens
+from seg left join made using (doc_id, seq)"""
+_FLOW = flow(DRESSED)
+SQL["pipeline_tokens"] = f"{_FLOW} select doc_id, seq, sub, pos, kind, value, ms, debug_tag, reason from final"
+SQL["pipeline_segments"] = f"""{_FLOW}
+select doc_id, seq, type, page, coalesce(string_agg(case when kind = 'text' then value end, '' order by pos), '') as text,
+  coalesce(sum(ms) filter (kind = 'pause'), 0)::bigint as pause_ms, count(*) as n_tokens
+from final group by doc_id, seq, sub, type, page"""
+SQL["pipeline_cues"] = cued(_FLOW)
+SQL["narrate_selections"] = cued(flow("with seg as (select conv_id * 1000 + turn as doc_id, 0::bigint as seq, 'paragraph' as type, 1 as page, text from conversations)", whole=False))
+SQL["narrate_items"] = cued(flow(f"{PARAGRAPHS}, seg as (select doc_id, seq, type, page, text from ({SQL['layout_segments'].removeprefix(PARAGRAPHS)}))"))
+SQL["project_items"] = f"""with {LINES},
+w as (select doc_id, pos, unnest(range(len(p))) as k, unnest(p) as word from (select doc_id, pos, string_split(line, ' ') as p from lines)),
+n as (select *, length(word) as n, case when length(word) % 4 = 0 then 0 else length(word) end as side, case when k % 2 = 0 then 3 else 0 end as lean from w)
+select doc_id, pos::int as page, k::int as item_index, word as str, (k * 10)::double as x, (pos * 12)::double as y, case when k % 3 <> 0 then 6.5 * n else 6 * n end::double as width,
+  case when lean <> 0 or side <> 0 then sqrt(lean * lean + side * side) else 10 end::double as font_size
+from n where n % 5 <> 0"""

@@ -53,7 +53,7 @@ DECORATED_TEXT = """case (doc_id * 31 + pos) % 13
   when 0 then concat('Figure ', cast(pos as varchar(20)), ': ', line)
   when 1 then concat('As shown [12, 13], ', line, ' (Smith et al., 2020) ends')
   when 2 then concat(line, ' as in (see Fig. 3) here e.g. Eq. 2 vs. cf. done.')
-  when 3 then concat('3.2 ', substr(line, 1, 40))
+  when 3 then concat('3.2 ', line)
   when 4 then line
   when 5 then 'RUNNING HEAD'
   when 6 then case when doc_id % 5 = 0 then 'References' else '1. Intro (part two) here' end
@@ -83,7 +83,7 @@ def host_segments(pages: DataFrame) -> DataFrame:
 
 
 #: Synthetic geometry for text tables: words of 6 points a character, lines 12 points apart, fifty a page.
-#: Some lines have a large font, an indent, or a few words with wide gaps, by the rule of the decorated lines.
+#: Some lines have a large font, an indent, or wide gaps, by the rule of the decorated lines.
 ITEM_LINES = 50
 
 
@@ -93,7 +93,6 @@ def line_items(documents: DataFrame) -> DataFrame:
     rows = text_lines(documents).withColumn("m", m)
     rows = rows.select("doc_id", "pos", "m", F.posexplode(F.split("line", " ", -1)).alias("k", "str"))
     table = F.col("m").isin(8, 9, 10)
-    rows = rows.where(~table | (F.col("k") < 4))
     step = 6 * F.length("str") + 3 + F.when(table, 40).otherwise(0)
     run = Window.partitionBy("doc_id", "pos").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     x = 50 + F.when(F.col("m") == 4, 20).otherwise(0) + F.coalesce(F.sum(step).over(run), F.lit(0))

@@ -127,3 +127,11 @@ def test_links_and_preview(spark):
 def test_selection_has_no_document_rules(spark):
     rows = spark.createDataFrame([(1, "Page 3 of 9", 4)], "doc_id bigint, text string, hint_page int")
     assert [(r.text, r.page) for r in narrate.narrate_selections(rows).collect()] == [("Page 3 of 9", 4)]
+
+
+def test_signs_that_the_split_uses_are_kept(spark):
+    text = "One\ue000 two.\ue000 Three\ue001\ue002, f\ue001\ue003our. Five\ue000mr. Six"
+    plain = text.translate({0xE000: "#", 0xE001: "~", 0xE002: "^", 0xE003: "_"})
+    rows = spark.createDataFrame([(0, text), (1, plain)], "k int, t string")
+    got = {r.k: [p.text for p in r.p] for r in rows.select("k", C.split_text(F.col("t"), Config().punctuationPauses).alias("p")).collect()}
+    assert [p.translate({0xE000: "#", 0xE001: "~", 0xE002: "^", 0xE003: "_"}) for p in got[0]] == got[1] and len(got[1]) > 2

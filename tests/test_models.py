@@ -15,8 +15,8 @@ def test_detection(spark):
     assert {d: (r.engine, r.status) for d, r in got.items()} == {
         "a": (None, "ambiguous: kokoro, kitten"), "b": ("kokoro", "ok"), "c": ("vits", "ok"), "d": ("matcha", "ok"), "e": (None, "unrecognized"), "f": (None, "unrecognized"),
     }
-    assert got["c"].rule_fsts == "date.fst,phone.fst" and got["b"].model_files["lexicon"] == "lexicon-us.txt"
-    assert got["d"].model_files["acousticModel"] == "a.onnx" and got["d"].model_files["vocoder"] == "Vocos.onnx"
+    assert got["c"].rule_fsts == "c/phone.fst,c/date.fst" and got["b"].model_files["lexicon"] == "b/lexicon-us.txt"
+    assert got["d"].model_files["acousticModel"] == "d/a.onnx" and got["d"].model_files["vocoder"] == "d/Vocos.onnx"
 
 
 def test_manifest_and_override(spark):
@@ -25,7 +25,12 @@ def test_manifest_and_override(spark):
     assert {d: (r.engine, r.detected_by, r.status) for d, r in got.items()} == {
         "a": ("kitten", "manifest", "ok"), "b": ("kitten", "override", "ok"), "c": ("kokoro", "override", "ok"), "d": (None, None, "unknown engine"),
     }
-    assert got["b"].model_files == {"model": "z.onnx"}
+    assert got["b"].model_files == {"model": "b/z.onnx"}
+
+
+def test_acoustic_model_is_the_first_file_that_is_not_the_vocoder(spark):
+    got = resolve(spark, {"a": "a_vocos.onnx b_vocos.onnx", "b": "vocos.onnx"}, overrides=[("b", "matcha")])
+    assert got["a"].model_files["acousticModel"] == "a/b_vocos.onnx" and got["b"].model_files["acousticModel"] == "b/vocos.onnx"
 
 
 def test_malformed_manifest_is_an_error(spark):
