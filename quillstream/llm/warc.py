@@ -12,6 +12,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -54,20 +55,29 @@ def clean(value: str | None) -> str:
     return (value or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, size: int, payload: bytes) -> bytes:
-    name = lambda n: f"<urn:page:{'' if n is None else n}>"
+def record(page_id: int | None, url: str | None, kind: str, refers_to: tuple[int | None, str | None] | None, digest: str, size: int, payload: bytes, date: str) -> bytes:
+    """A WARC/1.1 record with an id of its own. Its block is an HTTP message: the head alone for a revisit, which
+    names the URL and date of what it repeats. page_id and size stand in fields that are no part of the format."""
+    head = b"HTTP/1.1 200 OK" + CRLF + b"Content-Type: text/html; charset=utf-8" + CRLF + f"Content-Length: {size}".encode() + CRLF + CRLF
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", name(page_id)),
+        ("WARC-Record-ID", uuid.uuid4().urn.join("<>")),
+        ("WARC-Date", date),
         ("WARC-Target-URI", clean(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("X-Page-ID", "" if page_id is None else str(page_id)),
         ("X-Payload-Bytes", str(size)),
     ]
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name(refers_to))]
+        page, target = refers_to
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", clean(target)),
+            ("WARC-Refers-To-Date", date), ("X-Refers-To-Page", "" if page is None else str(page)),
+        ]
         payload = b""
-    fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
-    return header(fields) + payload + CRLF + CRLF
+    block = head + payload
+    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    return header(fields) + block + CRLF + CRLF
 
 
 def compress(records: list[bytes]) -> Iterator[bytes]:
@@ -80,7 +90,7 @@ def compress(records: list[bytes]) -> Iterator[bytes]:
 
 
 def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, payload) of each record of an open archive, one record at a time."""
+    """(header fields, payload) of each record of an open archive, one record at a time; the HTTP head is no part of a payload."""
     magic, size = struct.unpack("<II", source.read(8))
     if magic != SKIPPABLE:
         raise ValueError("the archive does not start with a dictionary")
@@ -104,7 +114,7 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
             head, _, rest = b"".join(pieces).partition(CRLF + CRLF)
             lines = head.decode().split("\r\n")
             fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-            yield fields, rest[: int(fields["Content-Length"])]
+            yield fields, rest[: int(fields["Content-Length"])].partition(CRLF + CRLF)[2]
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -112,12 +122,14 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write (page_id, url, html, sha1, n_bytes, record_type, refers_to) and return the manifest (path, records).
+    """Write (page_id, url, html, sha1, n_bytes, record_type, refers_to, refers_url) and return the manifest (path, records).
 
     A task writes each archive under a name of its own and only then names it in
     the manifest, so what a lost or repeated task left behind is never read.
     """
 
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")  # of the archives, whichever task writes
+
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         size = 0
@@ -135,9 +147,9 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
         for batch in batches:
             html = texts_of(batch.column("html")).cast(pa.large_binary()).to_pylist()
-            other = (batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "refers_to", "sha1", "n_bytes"))
-            for payload, (page_id, url, kind, refers, sha1, n) in zip(html, zip(*other, strict=True), strict=True):
-                one = record(page_id, url, kind, refers, sha1, n, payload)
+            other = (batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "refers_to", "refers_url", "sha1", "n_bytes"))
+            for payload, (page_id, url, kind, refers, target, sha1, n) in zip(html, zip(*other, strict=True), strict=True):
+                one = record(page_id, url, kind, (refers, target), sha1, n, payload, date)
                 held.append(one)
                 size += len(one)
                 if size >= archive_bytes:
@@ -146,7 +158,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         if held:
             yield flush()
 
-    columns = ("page_id", "url", "html", "sha1", "n_bytes", "record_type", "refers_to")
+    columns = ("page_id", "url", "html", "sha1", "n_bytes", "record_type", "refers_to", "refers_url")
     return stage_table(pages.select(*columns).mapInArrow(tidy(write), "path string, records bigint"), "warc-manifest")
 
 
@@ -158,8 +170,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """
 
     def number(value: str) -> int | None:
-        inner = value.removeprefix("<urn:page:").removesuffix(">")
-        return int(inner) if inner else None
+        return int(value) if value else None
 
     def plain(value: str) -> str:
         return value.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
@@ -178,8 +189,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         if kind == "response":
                             if hashlib.sha1(payload, usedforsecurity=False).hexdigest() != digest or len(payload) != n:
                                 raise ValueError(f"a record in {path} does not fit its digest")
-                        refers = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
-                        rows.append((number(fields["WARC-Record-ID"]), plain(fields["WARC-Target-URI"]), n, digest, kind, refers, payload))
+                        refers = number(fields["X-Refers-To-Page"]) if kind == "revisit" else None
+                        rows.append((number(fields["X-Page-ID"]), plain(fields["WARC-Target-URI"]), n, digest, kind, refers, payload))
                         size += len(payload)
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -202,7 +213,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None, archive_bytes: in
     and the others revisit it; smaller ones are all responses. A null page_id is
     smaller than any other and stays null. Of rows that repeat the largest page_id
     and its payload, all are responses. A null url is written as an empty one. No
-    rows make no archive. Other columns are not read.
+    rows make no archive. Other columns are not read. Payloads are equal when their SHA-256 is;
+    bytes are not compared. Dictionaries are trained on a bounded sample of an archive's records, of which
+    each gives its first 64 KiB at most; the records themselves are archived whole.
     """
     rows = project(pages, page_id="bigint", url="string", html="string")
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -210,9 +223,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None, archive_bytes: in
     groups = (
         rows.where(F.col("n_bytes") >= LEAST_REVISIT)
         .groupBy("__sha")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("newest"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "url")).alias("newest"))
         .where("n > 1")
-        .select("__sha", "newest")
+        .select("__sha", F.col("newest.page_id").alias("newest"), F.col("newest.url").alias("newest_url"))
     )
     groups = stage_table(groups, "warc-groups")
     again = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
@@ -220,6 +233,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, archive_bytes: in
         "page_id", "url", "html", "sha1", "n_bytes",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("newest")).alias("refers_to"),
+        F.when(again, F.col("newest_url")).alias("refers_url"),
     )
     folder = folder or fresh_path(pages.sparkSession, "warc")
     return read_archives(write_archives(rows, folder, archive_bytes))

@@ -44,7 +44,7 @@ def test_empty_table(spark):
 def test_dictionary_leads_and_each_record_stands_alone():
     rng = random.Random(5)
     common = " ".join(words(rng, 300))
-    records = [A.record(k, "u", "response", None, "0" * 40, 3, (common + str(k)).encode()) for k in range(300)]
+    records = [A.record(k, "u", "response", None, "0" * 40, 3, (common + str(k)).encode(), "2020-01-01T00:00:00Z") for k in range(300)]
     frames = list(A.compress(records))
     assert frames[0][:4] == A.SKIPPABLE.to_bytes(4, "little")
     raw = frames[0][8:]
@@ -54,3 +54,19 @@ def test_dictionary_leads_and_each_record_stands_alone():
     assert sum(map(len, frames)) < plain / 2
     back = list(A.read_archive(io.BytesIO(b"".join(frames))))
     assert len(back) == 300 and back[7][1] == (common + "7").encode()
+
+
+def test_records_have_what_the_format_demands(spark, tmp_path):
+    long = "x" * 2000
+    rows = [(7, "http://a/", long), (7, "http://a/", long), (None, "http://n/", long), (None, None, "y"), (3, "http://b/", long)]
+    A.archive_pages(spark.createDataFrame([(*r, "c", "d", 1) for r in rows], SCHEMA), str(tmp_path / "w")).collect()
+    found = []
+    for path in (tmp_path / "w").glob("*.warc.zst"):
+        with path.open("rb") as f:
+            found += [fields for fields, _ in A.read_archive(f)]
+    assert len(found) == 5 and len({f["WARC-Record-ID"] for f in found}) == 5
+    for f in found:
+        assert f["WARC-Record-ID"].startswith("<urn:uuid:") and len(f["WARC-Date"]) == 20 and f["Content-Type"] == "application/http; msgtype=response"
+        if f["WARC-Type"] == "revisit":
+            assert f["WARC-Refers-To-Target-URI"] == "http://a/" and f["WARC-Refers-To-Date"] == f["WARC-Date"]
+    assert sorted(f["WARC-Type"] for f in found) == ["response"] * 3 + ["revisit"] * 2
