@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
             store, at = open_fs(path)
             store.create_dir(at.rpartition("/")[0], recursive=True)
-            with store.open_output_stream(at) as out:
+            with store.open_output_stream(at, compression=None) as out:
                 for frame in compress(held):
                     out.write(frame)
             n = len(held)
@@ -182,7 +182,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 store, at = open_fs(path)
                 rows: list[tuple] = []
                 size = 0
-                with store.open_input_stream(at) as source:
+                with store.open_input_stream(at, compression=None) as source:
                     for fields, payload in read_archive(source):
                         kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         n = int(fields["X-Payload-Bytes"])
