@@ -72,7 +72,8 @@ def stage_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in whatever file system they are."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in paths:
         path = jvm.org.apache.hadoop.fs.Path(name)
@@ -81,7 +82,7 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 def cleanup(spark: SparkSession) -> None:
     """Remove the tables that stage_table wrote in this process; call it when results are stored."""
-    _delete(spark, _WRITTEN)
+    remove(spark, _WRITTEN)
     _WRITTEN.clear()
 
 
@@ -89,7 +90,7 @@ def cleanup(spark: SparkSession) -> None:
 def successive(spark: SparkSession, name: str) -> Iterator[None]:
     """For steps of which each one's result is stored before the next begins: remove the
     tables that the step of that name before has left, and no others."""
-    _delete(spark, _STEPS.pop(name, []))
+    remove(spark, _STEPS.pop(name, []))
     at = len(_WRITTEN)
     yield
     _STEPS[name] = _WRITTEN[at:]
