@@ -10,13 +10,11 @@ whatever its name; an empty table stays empty. The operators' docstrings have th
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm import bpe, decontam, exact_dedup, ngram_join, toxicity
 from quillstream.llm.queries import table, vocabulary
-from quillstream.llm.shared import shared_dir, successive
+from quillstream.llm.shared import fresh_path, remove, successive
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over sf_dir's documents; every stage's table is in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage over sf_dir's documents.
+
+    A stage's table goes as soon as the next one's is stored. The last one's is the result; it stays in
+    the shared folder until quillstream.llm.shared.cleanup.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        remove(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
