@@ -29,8 +29,8 @@ PREFIXES = (4, 5, 6)
 SAMPLE, MOST_TERMS = 3000, 16_384
 #: Terms that are kept: those whose presence tells most about the label, and all that tell it in pairs.
 TERMS, LEAST_DOCS, LEAST_GAIN = 4096, 4, 12.0
-#: Terms whose pairs are counted at once.
-PAIR_BLOCK = 1024
+#: Terms whose pairs are counted, at most, besides those kept for themselves: the ones that split the sample most evenly; and at once.
+PAIRED, PAIR_BLOCK = 8192, 1024
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 30, 64, 0.1, 1e-4
 _LEADING = np.ones(256, bool)
 _LEADING[0x80:0xC0] = False
@@ -139,7 +139,7 @@ def pair_gains(sets: list[np.ndarray], label: np.ndarray, which: np.ndarray) ->
 def telling_pairs(sets: list[np.ndarray], label: np.ndarray, has: np.ndarray, alone: np.ndarray) -> np.ndarray:
     """Terms not in `alone` that tell the label together with another term, the most telling first.
 
-    Counted are all pairs of terms in `alone` and of those in documents enough that a pair could pass: where the
+    Counted are all pairs of terms in `alone` and of PAIRED others at most, in documents enough that a pair could pass: where the
     sample's labels are halved, 35 documents or so. A pair has to tell more than LEAST_GAIN and the logarithm of the number of terms
     that each one could be paired with, so that no more pass by chance than of single terms. Terms that the very same documents hold are one.
     """
@@ -147,6 +147,7 @@ def telling_pairs(sets: list[np.ndarray], label: np.ndarray, has: np.ndarray, al
     often = np.flatnonzero(has >= LEAST_DOCS)
     least = LEAST_GAIN + np.log(max(len(often), 1))
     which = often[has[often] >= least / np.log(n / min(p, n - p))]
+    which = which[np.argsort(-np.minimum(has[which], n - has[which]), kind="stable")[:PAIRED]]
     which = np.union1d(which, alone)
     code = np.random.default_rng(0).integers(0, 1 << 63, n, dtype=np.uint64)
     sign = np.zeros(1 << BITS, np.uint64)
