@@ -17,7 +17,8 @@ def test_rows_of_the_last_stage(spark, small):
     for i, t in rows:
         best[norm(t)] = min(best.get(norm(t), (1, 0)), (-len(t), i))
     rows = [(i, t) for i, t in rows if best[norm(t)][1] == i]
-    rows = [(i, t) for i, t in rows if str(i) in {c for _, c, _ in brute(rows)}]
+    stay = {c for _, c, _ in brute(rows)}
+    rows = [(i, t) for i, t in rows if str(i) in stay]
     items = [r.text for r in bench.collect()]
     rows = [(i, t) for i, t in rows if not any(x in t for x in items)]
     out = corpus_pipeline.run(spark, small)
