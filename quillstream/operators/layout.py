@@ -7,6 +7,8 @@ paragraphs are gaps and islands.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +36,38 @@ HEADING_WORDS = (
 
 
 def assign_lines(items: DataFrame) -> DataFrame:
-    """Items with line_no: an item joins the current line while it lies within 2.5 pt of the line's first item.
+    """Items with _run and _sub, which tell a page's lines apart and order them: an item joins the current line while it lies within 2.5 pt of the line's first item.
 
-    A gap to the item before of more than that always starts a line; only where a run
-    without such gaps spreads further is it folded, item by item.
+    A gap to the item before of more than that always starts a line and a run; only where a run
+    spreads further are the heights in it folded, once, to those at which lines start.
     """
-    page = Window.partitionBy("doc_id", "page").orderBy(F.col("y").desc(), "x", "item_index")
+    down = (F.col("y").desc(), "x", "item_index")
+    page = Window.partitionBy("doc_id", "page").orderBy(*down)
     rows = items.withColumn("_far", F.coalesce(F.lag("y").over(page) - F.col("y") > SAME_LINE_PT, F.lit(False)).cast("int"))
-    rows = rows.withColumn("_run", F.sum("_far").over(page)).withColumn("_at", F.row_number().over(page))
+    rows = rows.withColumn("_run", F.sum("_far").over(page))
     run = Window.partitionBy("doc_id", "page", "_run")
-    rows = rows.withColumn("_spread", F.max("y").over(run) - F.min("y").over(run))
-    wide = F.col("_spread") > SAME_LINE_PT
-    folded = rows.where(wide).groupBy("doc_id", "page", "_run").agg(F.array_sort(F.collect_list(F.struct("_at", "y"))).alias("_ys"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("anchor"), F.expr("cast(array() as array<struct<_at:int,_sub:int>>)").alias("out"))
+    rows = rows.withColumn("_first", F.row_number().over(run.orderBy(*down)) == 1)
+    rows = rows.withColumn("_wide", F.coalesce(F.max("y").over(run) - F.min("y").over(run) > SAME_LINE_PT, F.lit(False)))
+    rows = rows.withColumn("_ys", F.collect_set(F.when(F.col("_wide"), F.col("y"))).over(run))
+    begin = F.struct(F.lit(None).cast("double").alias("anchor"), F.expr("cast(array() as array<double>)").alias("out"))
 
-    def step(a: Column, i: Column) -> Column:
-        new = F.coalesce(a["anchor"] - i["y"] > SAME_LINE_PT, F.lit(False))
-        n = a["n"] + new.cast("int")
-        anchor = F.when(new | a["anchor"].isNull(), i["y"]).otherwise(a["anchor"])
-        return F.struct(n.alias("n"), anchor.alias("anchor"), F.concat(a["out"], F.array(F.struct(i["_at"].alias("_at"), n.alias("_sub")))).alias("out"))
+    def step(a: Column, y: Column) -> Column:
+        new = F.coalesce(a["anchor"] - y > SAME_LINE_PT, F.lit(False))
+        anchor = F.when(new | a["anchor"].isNull(), y).otherwise(a["anchor"])
+        return F.struct(anchor.alias("anchor"), F.when(new, F.concat(a["out"], F.array(y))).otherwise(a["out"]).alias("out"))
 
-    folded = folded.select("doc_id", "page", F.explode(F.aggregate("_ys", start, step, lambda a: a["out"])).alias("s")).select("doc_id", "page", "s._at", "s._sub")
-    rows = rows.join(folded, ["doc_id", "page", "_at"], "left").withColumn("_sub", F.coalesce("_sub", F.lit(0)))
-    order = Window.partitionBy("doc_id", "page").orderBy("_run", "_sub")
-    return rows.withColumn("line_no", F.dense_rank().over(order) - 1).drop("_far", "_spread", "_sub", "_run")
+    starts = F.aggregate(F.sort_array("_ys", asc=False), begin, step, lambda a: a["out"])
+    rows = rows.withColumn("_starts", F.when(F.col("_first") & F.col("_wide"), starts)).drop("_ys")
+    rows = rows.withColumn("_starts", F.first("_starts", ignorenulls=True).over(run))
+    # an item without a height comes last
+    sub = F.size(F.filter("_starts", lambda s: F.coalesce(s >= F.col("y"), F.lit(True))))
+    return rows.withColumn("_sub", F.when(F.col("_wide"), sub).otherwise(0)).drop("_far", "_first", "_wide", "_starts")
 
 
 def group_lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, text, font_size, x, y, gap_before, first_item, last_item, last_item_len, gap_widths), without blank lines."""
     rows = assign_lines(items)
-    across = Window.partitionBy("doc_id", "page", "line_no").orderBy("x", F.col("y").desc(), "item_index")
+    across = Window.partitionBy("doc_id", "page", "_run", "_sub").orderBy("x", F.col("y").desc(), "item_index")
     blank = F.col("str").rlike(f"^{rx.SPACE}+\\z")
     prev_end, prev_font = F.lag(F.col("x") + F.col("width")).over(across), F.lag("font_size").over(across)
     gap = F.when(prev_end.isNotNull(), F.when(blank, F.col("width")).otherwise(F.col("x") - prev_end))
@@ -72,18 +76,19 @@ def group_lines(items: DataFrame) -> DataFrame:
     piece = F.concat(F.when(F.coalesce(parted, F.lit(False)), " ").otherwise(""), F.col("str"))
     wide = F.when(F.col("_gap") > 0, F.col("_gap"))
     parts = F.array_sort(F.collect_list(F.struct("_k", piece.alias("t"), wide.alias("g"))))
-    lines = rows.groupBy("doc_id", "page", "line_no").agg(
+    lines = rows.groupBy("doc_id", "page", "_run", "_sub").agg(
         parts.alias("_p"),
         F.median("font_size").alias("font_size"),
         F.min_by("x", "_k").alias("x"),
-        F.min_by("y", "_at").alias("y"),
+        F.max("y").alias("y"),
         F.min_by("item_index", "_k").alias("first_item"),
         F.max_by("item_index", "_k").alias("last_item"),
         F.max_by(F.length("str"), "_k").alias("last_item_len"),
     )
     text = rx.trim(rx.collapse(F.array_join(F.transform("_p", lambda p: p["t"]), "")))
-    before = F.lag("y").over(Window.partitionBy("doc_id", "page").orderBy("line_no")) - F.col("y")
-    lines = lines.withColumns({"text": text, "gap_before": before, "gap_widths": F.array_compact(F.transform("_p", lambda p: p["g"]))})
+    page = Window.partitionBy("doc_id", "page").orderBy("_run", "_sub")
+    before = F.lag("y").over(page) - F.col("y")
+    lines = lines.withColumns({"line_no": F.row_number().over(page) - 1, "text": text, "gap_before": before, "gap_widths": F.array_compact(F.transform("_p", lambda p: p["g"]))})
     return lines.where(F.col("text") != "").select("doc_id", "page", "line_no", "text", "font_size", "x", "y", "gap_before", "first_item", "last_item", "last_item_len", "gap_widths")
 
 
@@ -100,13 +105,19 @@ def mark_table_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumn("is_table_row", F.col("_row") & (run >= ROW_RUN)).drop("_row", "_island")
 
 
+def stats(median: Callable[[Column], Column]) -> dict[str, Column]:
+    """body_size, body_margin and typical_gap of a document's lines, 10 for a body size of none."""
+    gap = F.col("gap_before")
+    return {
+        "body_size": F.coalesce(F.nullif(median(F.col("font_size")), F.lit(0.0)), F.lit(10.0)),
+        "body_margin": F.coalesce(median(F.col("x")), F.lit(0.0)),
+        "typical_gap": F.coalesce(median(F.when(gap > 0, gap)), F.lit(0.0)),
+    }
+
+
 def document_stats(lines: DataFrame) -> DataFrame:
-    """(doc_id, body_size, body_margin, typical_gap): exact medians, 10 for a body size of none."""
-    return lines.groupBy("doc_id").agg(
-        F.coalesce(F.nullif(F.median("font_size"), F.lit(0.0)), F.lit(10.0)).alias("body_size"),
-        F.coalesce(F.median("x"), F.lit(0.0)).alias("body_margin"),
-        F.coalesce(F.median(F.when(F.col("gap_before") > 0, F.col("gap_before"))), F.lit(0.0)).alias("typical_gap"),
-    )
+    """(doc_id, body_size, body_margin, typical_gap): exact medians."""
+    return lines.groupBy("doc_id").agg(*[c.alias(n) for n, c in stats(F.median).items()])
 
 
 def ends_sentence(text: Column) -> Column:
@@ -115,7 +126,8 @@ def ends_sentence(text: Column) -> Column:
 
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Lines with kind: heading, list-item, table-row, standalone-short or paragraph-line."""
-    rows = lines.join(document_stats(lines), "doc_id")
+    whole = Window.partitionBy("doc_id")
+    rows = lines.withColumns(stats(lambda c: F.median(c).over(whole)))
     doc = Window.partitionBy("doc_id").orderBy("page", "line_no")
     page = Window.partitionBy("doc_id", "page").orderBy("line_no")
     rows = rows.withColumns({
