@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import rx
 from quillstream.functions import tokens as T
+from quillstream.functions.tokens import let
 
 SAME_LINE_PT, INDENT_PT = 2.5, 8
 WIDE_GAP_FONTS, WIDE_GAP_PT, WIDE_GAPS, ROW_WORDS, ROW_RUN = 1.8, 10, 2, 24, 3
@@ -64,6 +65,16 @@ def assign_lines(items: DataFrame) -> DataFrame:
     return rows.withColumn("_sub", F.when(F.col("_wide"), sub).otherwise(0)).drop("_far", "_first", "_wide", "_starts")
 
 
+def median_of(values: Column) -> Column:
+    """The exact median of an array's values that are not null."""
+
+    def middle(v: Column) -> Column:
+        n = F.size(v)
+        return F.get(v, F.floor((n - 1) / 2).cast("int")) * 0.5 + F.get(v, F.floor(n / 2).cast("int")) * 0.5
+
+    return let(F.sort_array(F.array_compact(values)), middle)
+
+
 def group_lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, text, font_size, x, y, gap_before, first_item, last_item, last_item_len, gap_widths), without blank lines."""
     rows = assign_lines(items)
@@ -75,16 +86,12 @@ def group_lines(items: DataFrame) -> DataFrame:
     parted = ~F.col("_blank") & (F.col("_gap") > F.greatest(F.col("_font") * 0.2, F.lit(1.0)))
     piece = F.concat(F.when(F.coalesce(parted, F.lit(False)), " ").otherwise(""), F.col("str"))
     wide = F.when(F.col("_gap") > 0, F.col("_gap"))
-    parts = F.array_sort(F.collect_list(F.struct("_k", piece.alias("t"), wide.alias("g"))))
-    lines = rows.groupBy("doc_id", "page", "_run", "_sub").agg(
-        parts.alias("_p"),
-        F.median("font_size").alias("font_size"),
-        F.min_by("x", "_k").alias("x"),
-        F.max("y").alias("y"),
-        F.min_by("item_index", "_k").alias("first_item"),
-        F.max_by("item_index", "_k").alias("last_item"),
-        F.max_by(F.length("str"), "_k").alias("last_item_len"),
-    )
+    parts = F.struct("_k", piece.alias("t"), wide.alias("g"), F.col("font_size").alias("f"), "x", "item_index", F.length("str").alias("n"))
+    lines = rows.groupBy("doc_id", "page", "_run", "_sub").agg(F.sort_array(F.collect_list(parts)).alias("_p"), F.max("y").alias("y"))
+    first, last = F.col("_p")[0], F.element_at("_p", -1)
+    lines = lines.withColumns({
+        "font_size": median_of(F.col("_p")["f"]), "x": first["x"], "first_item": first["item_index"], "last_item": last["item_index"], "last_item_len": last["n"],
+    })
     text = rx.trim(rx.collapse(F.array_join(F.transform("_p", lambda p: p["t"]), "")))
     page = Window.partitionBy("doc_id", "page").orderBy("_run", "_sub")
     before = F.lag("y").over(page) - F.col("y")
