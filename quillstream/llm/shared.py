@@ -7,10 +7,15 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 250_000
+#: Edges, each counted in both directions, up to which the driver finds components itself; of more, rounds over tables do.
+DRIVER_EDGES = 250_000
 _WRITTEN: list[str] = []
 _STEPS: dict[str, list[str]] = {}
 
@@ -107,13 +112,17 @@ def components(edges: DataFrame, name: str = "links", rows: int | None = None) -
 
     Each round hooks every node to the least label around it and then jumps to the
     label's own label, so that rounds grow with the logarithm of a path's length.
-    Labels and edges stay in tables; the driver sees only the number of changes.
+    Labels and edges stay in tables; the driver sees only the number of changes. A round has a dozen stages, of which
+    the driver keeps a record, so DRIVER_EDGES edges at most, 8 MB or so, are solved there without any round.
     `rows` bounds the number of edges. A node with many edges is met by partial aggregation and by joins that can be
     split, never by a group in one task.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stage_table(both.where("a <> b").distinct(), f"{name}-edges", rows and 2 * rows)
-    rows = rows and both.count()
+    n = both.count()
+    if n <= DRIVER_EDGES:
+        return stage_table(least_nodes(both), f"{name}-labels", n)
+    rows = rows and n
     labels = stage_table(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")),
         f"{name}-labels",
@@ -142,6 +151,25 @@ def components(edges: DataFrame, name: str = "links", rows: int | None = None) -
             return labels
 
 
+def least_nodes(both: DataFrame) -> DataFrame:
+    """(node, root) as components gives them, of edges(a, b) in both directions that the driver can hold."""
+    table = both.toArrow()
+    nodes = pc.unique(table["a"])
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    a, b = (pc.index_in(table[c], nodes).to_numpy() for c in ("a", "b"))
+    label = np.arange(len(nodes))
+    while True:
+        near = label.copy()
+        np.minimum.at(near, a, label[b])
+        np.minimum.at(near, label[a], label[b])
+        near = near[near]
+        if (near == label).all():
+            break
+        label = near
+    kind = both.schema["a"].dataType.simpleString()
+    return both.sparkSession.createDataFrame(pa.table({"node": nodes, "root": nodes.take(pa.array(label))}), f"node {kind}, root {kind}")
+
+
 def text_tag(column: str) -> Column:
     """64 bits of a text; with doc_id they tell the rows of a table apart."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
